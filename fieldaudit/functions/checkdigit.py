@@ -33,8 +33,14 @@ def inverse(a: int) -> int:
     return (5 - a) % 5 if a < 5 else a
 
 
-def _int_array(values) -> Column:
-    return F.expr("array(" + ",".join(str(v) for v in values) + ")")
+class _Table:
+    """Lookup table as one constant text, which the optimizer folds into an array once per plan."""
+
+    def __init__(self, values):
+        self._cells = F.split(F.lit(",".join(str(v) for v in values)), ",")
+
+    def at(self, index: Column) -> Column:
+        return F.get(self._cells, index).cast("int")
 
 
 def multiplication_table() -> list[int]:
@@ -54,25 +60,22 @@ def triple_table(offset: int) -> list[int]:
 
 
 def _product12(s: Column) -> Column:
-    table = _int_array(multiplication_table())
-    block = [
-        F.get(_int_array(triple_table(offset)), F.substring(s, 10 - offset, 3).cast("int"))
-        for offset in (0, 3, 6, 9)
-    ]
+    table = _Table(multiplication_table())
+    block = [_Table(triple_table(offset)).at(F.substring(s, 10 - offset, 3).cast("int")) for offset in (0, 3, 6, 9)]
     result = block[0]
     for b in block[1:]:
-        result = F.get(table, result * 10 + b)
+        result = table.at(result * 10 + b)
     return result
 
 
 def product(s: Column) -> Column:
     """Group product of a digit string of any length."""
-    table, perm = _int_array(multiplication_table()), _int_array(permutation_table())
+    table, perm = _Table(multiplication_table()), _Table(permutation_table())
     places = F.sequence(F.lit(0), F.length(s) - 1)
 
     def step(c, i):
         digit = F.substr(s, F.length(s) - i, F.lit(1)).cast("int")
-        return F.get(table, c * 10 + F.get(perm, F.pmod(i, F.lit(8)) * 10 + digit))
+        return table.at(c * 10 + perm.at(F.pmod(i, F.lit(8)) * 10 + digit))
 
     return F.when(F.length(s) > 0, F.aggregate(places, F.lit(0), step))
 
@@ -90,7 +93,7 @@ def is_consistent12(s: Column) -> Column:
 
 def check_digit(payload: Column) -> Column:
     """FN2. Check digit of the preceding digits; null for anything but ASCII digits."""
-    digit = F.get(_int_array([inverse(a) for a in range(10)]), product(F.concat(payload, F.lit("0"))))
+    digit = _Table(inverse(a) for a in range(10)).at(product(F.concat(payload, F.lit("0"))))
     return F.when(payload.rlike(r"\A[0-9]+\z"), digit.cast("string"))
 
 
@@ -100,5 +103,5 @@ def append_check_digit(payload: Column) -> Column:
 
 def append_check_digit11(payload: Column) -> Column:
     """FN2 for a payload already known to hold eleven ASCII digits."""
-    digit = F.get(_int_array([inverse(a) for a in range(10)]), _product12(F.concat(payload, F.lit("0"))))
+    digit = _Table(inverse(a) for a in range(10)).at(_product12(F.concat(payload, F.lit("0"))))
     return F.concat(payload, digit.cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("characterise",)
+GROUPS = ("characterise", "evaluate")
 
 QUERIES, ORACLES = {}, {}
 for _group in GROUPS:

@@ -16,10 +16,6 @@ ISSUED = {"aadhaar": [1.0e9, 1.42e9], "pan": [7.0e8, 8.0e8]}
 SPACES = {"aadhaar": 80_000_000_000, "pan": 26**3 * 10 * 10_000 * 26}
 
 
-def own_id(df):
-    return df.withColumn("own_id", F.when(F.col("doc_type") == "pan", F.col("pan")).otherwise(F.col("aadhaar")))
-
-
 def all_documents(spark, d):
     return spread(table(spark, d, "documents"), "doc_id")
 
@@ -46,10 +42,11 @@ QUERIES = {
         cases(s, d), ("doc_type", "forgery_category", "quality_tier"), "rule_ocr_verdict"),
     "verdict_flips": lambda s, d: op.flips(cases(s, d)),
     "verdict_flips_all_tier": lambda s, d: op.flips_all_tier(cases(s, d)),
-    "field_extraction_quality": lambda s, d: op.extraction_quality(op.field_rows(cases(s, d, rules=False))),
-    "char_confusions_top20": lambda s, d: op.char_confusions(cases(s, d, rules=False)),
-    "composition_grouping_sets": lambda s, d: op.composition(cases(s, d, rules=False)),
-    "composition_totals": lambda s, d: op.totals(cases(s, d, rules=False)),
+    "field_extraction_quality": lambda s, d: op.extraction_quality(op.field_rows(cases(s, d))),
+    "char_confusions_top20": lambda s, d: op.char_confusions(cases(s, d)),
+    "composition_grouping_sets": lambda s, d: op.composition(cases(s, d)),
+    "composition_totals": lambda s, d: op.totals(cases(s, d)),
+    "split_sizes": lambda s, d: op.split_sizes(cases(s, d)),
     "person_attribute_counts": lambda s, d: op.person_attributes(
         people(s, d), ["naming_stratum", "pan_fifth_source", "gender"]),
     "honorific_rate": lambda s, d: op.honorific_rate(people(s, d)),
@@ -57,7 +54,7 @@ QUERIES = {
     "fpr_by_tier_all": lambda s, d: op.fpr_by_tier(cases(s, d)),
     "fpr_by_naming_stratum": lambda s, d: op.fpr_by_naming(cases(s, d)),
     "permissive_vs_strict": lambda s, d: op.loose_and_strict(cases(s, d)),
-    "coincidence": lambda s, d: op.coincidences(own_id(cases(s, d, rules=False)), ISSUED, SPACES),
+    "coincidence": lambda s, d: op.coincidences(cases(s, d), ISSUED, SPACES),
     "preflight_counts": lambda s, d: op.preflight(cases(s, d)),
     "design_violations_top50": lambda s, d: op.violations(cases(s, d), "rule_ocr_verdict"),
 }
@@ -85,8 +82,7 @@ def _loose_strict():
                          f"from cases where label = 0 and doc_type = 'pan' and {pred}")
     w = []
     for k in ("loose_fail", "strict_fail", "skipped"):
-        w.append(sql.wilson(k, "n").replace("as rate", f"as {k}_rate").replace("as lo", f"as {k}_lo")
-                 .replace("as hi", f"as {k}_hi"))
+        w.append(sql.wilson(k, "n", f"{k}_"))
     return f"{_cases} select *, {', '.join(w)} from ({' union all '.join(parts)})"
 
 
@@ -135,6 +131,7 @@ ORACLES = {
         from cases group by grouping sets ((doc_type, forgery_category, quality_tier), (doc_type, forgery_category))""",
     "composition_totals": f"""{_cases} select count(distinct person_id) as persons, count(distinct document_id) as documents,
         count(*) as images, count(*) filter (where label = 0) as genuine, count(*) filter (where label = 1) as forged from cases""",
+    "split_sizes": f"{_cases} select split, count(*) as n, count(distinct person_id) as persons from cases group by 1",
     "person_attribute_counts": _people + " union all ".join(
         f"select '{a}' as attribute, {a} as value, count(*) as n from id5 group by 2"
         for a in ("naming_stratum", "pan_fifth_source", "gender")),

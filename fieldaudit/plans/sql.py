@@ -5,6 +5,7 @@ from __future__ import annotations
 from fieldaudit.functions import checkdigit
 from fieldaudit.functions.fields import HONORIFICS, PAN_CATEGORY_LETTERS
 from fieldaudit.operators import synth
+from fieldaudit.operators.positions import SPLIT_CYCLE
 
 
 def draw(key: str, tag: str, seed: int = 42) -> str:
@@ -135,6 +136,15 @@ def _verdict(out: str) -> str:
             f"case when {any_fail} then 'FAIL' else 'PASS' end as rule_{out}_verdict, ({any_fail})::int as rule_{out}")
 
 
+def splits() -> str:
+    """WIN8 over customers, as one global row number."""
+    cycle = texts(SPLIT_CYCLE)
+    return f"""splits as (select *, {cycle}[(position % 20 + 1)::int] as split from (
+   select c_custkey as person_id, c_mktsegment, c_nationkey % 3 as nation_group,
+     row_number() over (order by c_mktsegment, c_nationkey % 3, md5(concat_ws('|', '42', c_custkey::varchar, 'split')), c_custkey) - 1 as position
+   from customer))"""
+
+
 def cases() -> str:
     """The ``cases`` relation as a chain of common table expressions."""
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -196,7 +206,8 @@ case7 as (select *, case when doc_type = 'pan' then upper(regexp_replace(raw_id,
    trim(regexp_replace(raw_father, '\\s+', ' ', 'g')) as ocr_father from case6),
 case8 as (select *, {_prod('gt', 'print_id', 'print_name')}, {_prod('ocr', 'ocr_id', 'ocr_name')} from case7),
 case9 as (select *, {rule('gt', 'print_id', 'print_name')}, {rule('ocr', 'ocr_id', 'ocr_name')} from case8),
-cases as materialized (select *, {_verdict('gt')}, {_verdict('ocr')}, (score >= 0.75)::int as visual from case9)"""
+{splits()},
+cases as materialized (select case9.*, splits.split, {_verdict('gt')}, {_verdict('ocr')}, (score >= 0.75)::int as visual from case9 left join splits using (person_id))"""
 
 
 def fields(relation: str = "cases") -> str:
@@ -209,15 +220,15 @@ fields as (
   union all select doc_type, quality_tier, forgery_category, label, 'father_name', print_father, ocr_father from {relation} where doc_type = 'pan')"""
 
 
-def wilson(k: str, n: str) -> str:
+def wilson(k: str, n: str, prefix: str = "") -> str:
     """Rate with clamped score interval, rounded to six decimals."""
     z = "1.959963985::double"
     p = f"({k}::double / {n})"
     d = f"(1 + {z} * {z} / {n})"
     c = f"(({p} + {z} * {z} / (2 * {n})) / {d})"
     h = f"({z} * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / (4.0::double * {n} * {n})) / {d})"
-    return (f"round({p}, 6) as rate, round(greatest(0.0::double, {c} - {h}), 6) as lo, "
-            f"round(least(1.0::double, {c} + {h}), 6) as hi")
+    return (f"round({p}, 6) as {prefix}rate, round(greatest(0.0::double, {c} - {h}), 6) as {prefix}lo, "
+            f"round(least(1.0::double, {c} + {h}), 6) as {prefix}hi")
 
 
 def with_(*ctes: str) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldaudit.functions.draws import Digits, choose, draw
 from fieldaudit.functions.fields import expected_rule, flag, group4, label_of, parse_field, with_rule
 from fieldaudit.operators import synth
+from fieldaudit.operators.positions import assign_splits
+from fieldaudit.sources.store import stored
 
 
 # HotSpot does not compile methods above 8000 bytes; wide projections then run faster split up.
@@ -25,7 +27,33 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
 
 
-def cases(spark: SparkSession, sf_dir: str, rules: bool = True) -> DataFrame:
+CASE_COLUMNS = (
+    "image_id", "person_id", "document_id", "doc_type", "quality_tier", "forgery_category", "label", "c1_op", "c1_field",
+    "template_variant", "expected_rule", "naming_stratum", "pan_fifth_source", "honorific", "gender", "own_id",
+    "print_id", "print_name", "print_father", "print_dob", "print_devanagari", "forgery_field", "forgery_detail",
+    "gt_value", "forged_value", "id_field", "ocr_id", "ocr_name", "ocr_dob", "ocr_father", "gt", "ocr",
+    "rule_gt_verdict", "rule_ocr_verdict", "rule_gt", "rule_ocr", "score", "visual", "split")
+
+
+def person_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split of every customer, stratified by market segment and nation group."""
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("person_id"), "c_mktsegment", F.pmod("c_nationkey", F.lit(3)).alias("nation_group"))
+    return assign_splits(spread(people, "person_id"), "person_id", ("c_mktsegment", "nation_group"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case table with splits, written once per application (the counterpart of a stored manifest)."""
+    def build():
+        split = person_splits(spark, sf_dir).select("person_id", "split")
+        own = F.when(F.col("doc_type") == "pan", F.col("pan")).otherwise(F.col("aadhaar"))
+        joined = derive_cases(spark, sf_dir).withColumn("own_id", own).join(split, "person_id", "left")
+        return joined.select(*CASE_COLUMNS)
+
+    return stored(spark, "cases", sf_dir, build)
+
+
+def derive_cases(spark: SparkSession, sf_dir: str, rules: bool = True) -> DataFrame:
     """One case per order: identity, printed fields, labelled fault, extracted text, both rule results.
 
     Every column is a function of the order row, so a query that needs three of them computes three.
