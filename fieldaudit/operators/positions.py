@@ -60,7 +60,7 @@ def balanced_sample(df: DataFrame, id_col: str, label: str, cap: int, seed: int
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.least(F.min("n"), F.lit(cap)).alias("quota"))
-    quota = sizes.select(label).join(F.broadcast(least))
+    quota = sizes.select(label, least.scalar().alias("quota"))
     return first_by_hash(df, id_col, quota, [label], "balance", seed)
 
 
@@ -74,7 +74,7 @@ def epoch_sample(df: DataFrame, id_col: str, label: str, ratio: int, epochs: int
     epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
     negatives = df.where(F.col(label) == 0).select(epoch, "*")
     negatives = negatives.withColumn("_key", F.concat_ws(":", "epoch", id_col))
-    quota = df.sparkSession.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch")).join(F.broadcast(n))
+    quota = df.sparkSession.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch"), n.scalar().alias("quota"))
     drawn = first_by_hash(negatives, "_key", quota, ["epoch"], "epoch", seed).drop("_key", "position")
     return positives.select(epoch, "*").unionByName(drawn)
 

@@ -10,7 +10,7 @@ from fieldaudit.sources.tables import person_splits, spread, table
 
 
 def events(spark, d):
-    """Detector view of the events: score ``value``, label error or not, one curve per weekday-like group."""
+    """Detector view of the events: score ``value``, label error or not, one curve."""
     e = spread(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
     return e.select("event_id", "user_id", F.lit("all").alias("system"), F.col("value").alias("score"),
                     (F.col("event_type") == "error").cast("int").alias("label"))
@@ -47,16 +47,16 @@ def matched(spark, d):
 
 
 def epochs(spark, d):
-    """Daily mean event value per event type, as epochs of a run."""
+    """Hourly mean event value per event type, as epochs of a run."""
     e = spread(table(spark, d, "events"), "event_id")
     hour = F.floor(F.unix_timestamp("ts") / 3600)
     return e.groupBy(F.col("event_type").alias("run"), hour.alias("epoch")).agg(F.round(F.avg("value"), 6).alias("metric"))
 
 
 def rank_pair(spark, d):
-    """Ordinal ranks of documents by length and by id hash order, with their Spearman correlation per language."""
+    """Spearman correlation per language of two document scores: length, and id modulo 97 (which has many ties)."""
     g = graded_documents(spark, d)
-    other = g.withColumn("second", F.pmod(F.xxhash64("doc_id"), F.lit(1)).cast("double") + F.pmod("doc_id", F.lit(97)))
+    other = g.withColumn("second", F.pmod("doc_id", F.lit(97)).cast("double"))
     a = ranking.ordinal_ranks(other, "score", "doc_id", ["system"], "rank_a")
     b = ranking.ordinal_ranks(a, "second", "doc_id", ["system"], "rank_b")
     return b.groupBy("system").agg(F.round(F.corr("rank_a", "rank_b"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))

@@ -43,3 +43,10 @@ def stored(spark: SparkSession, name: str, source: str, build: Callable[[], Data
             spark.conf.set("spark.sql.codegen.wholeStage", whole_stage)
         _written[key] = path
     return spark.read.parquet(_written[key])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for frames a loop builds on."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_root(spark))
+    return df.checkpoint()
