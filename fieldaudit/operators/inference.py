@@ -57,24 +57,33 @@ def replicate_sums(counts: DataFrame, w: DataFrame, cluster: str, keys, values)
 
 
 def rate_counts(df: DataFrame, cluster: str, cell, systems: dict[str, str], masks: dict[str, Column]) -> DataFrame:
-    """Numerators and denominators of flag rates per (cluster, mask, system)."""
+    """Numerators k_<system> and the shared denominator ``den`` of flag rates per (cluster, mask).
+
+    Systems stay side by side as columns until after the replicate join, which is where rows multiply.
+    """
     per_cell = df.groupBy(cluster, *cell).agg(
-        F.count(F.lit(1)).alias("den"), *[F.sum(c).alias(f"k_{s}") for s, c in systems.items()])
-    per_mask = explode_masks(per_cell, masks).groupBy(cluster, "mask").agg(
+        F.count(F.lit(1)).alias("den"), *[F.sum(c).cast("long").alias(f"k_{s}") for s, c in systems.items()])
+    return explode_masks(per_cell, masks).groupBy(cluster, "mask").agg(
         F.sum("den").alias("den"), *[F.sum(f"k_{s}").alias(f"k_{s}") for s in systems])
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"k_{s}").alias("num")) for s in systems]))
-    return per_mask.select(cluster, "mask", "den", rows.alias("_r")).select(cluster, "mask", "_r.system", "_r.num", "den")
 
 
-def rates(counts: DataFrame, keys=("mask", "system")) -> DataFrame:
-    """STA4, point values; null on an empty subset."""
-    return counts.groupBy(*keys).agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0))).alias("value"))
+def _rates(sums: DataFrame, keys, systems) -> DataFrame:
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("system"), (F.col(f"k_{s}") / F.nullif(F.col("den"), F.lit(0))).alias("value"))
+        for s in systems]))
+    return sums.select(*keys, rows.alias("_r")).select(*keys, "_r.*")
+
 
+def rates(counts: DataFrame, systems) -> DataFrame:
+    """STA4, point values (mask, system, value); null on an empty subset."""
+    sums = counts.groupBy("mask").agg(*[F.sum(c).alias(c) for c in ("den", *[f"k_{s}" for s in systems])])
+    return _rates(sums, ["mask"], systems)
 
-def rate_replicates(counts: DataFrame, w: DataFrame, cluster: str, keys=("mask", "system")) -> DataFrame:
-    """STA4, replicates."""
-    sums = replicate_sums(counts, w, cluster, keys, ["num", "den"])
-    return sums.select(*keys, "b", (F.col("num") / F.nullif(F.col("den"), F.lit(0))).alias("value"))
+
+def rate_replicates(counts: DataFrame, w: DataFrame, cluster: str, systems) -> DataFrame:
+    """STA4, replicates (mask, system, b, value)."""
+    sums = replicate_sums(counts, w, cluster, ["mask"], ["den", *[f"k_{s}" for s in systems]])
+    return _rates(sums, ["mask", "b"], systems)
 
 
 def finite(c: str) -> Column:
@@ -101,14 +110,19 @@ def bootstrap(df: DataFrame, cluster: str, label: str, decision: str, replicates
     """STA1. Recall, false-positive rate and precision with intervals; undefined replicates are skipped."""
     y, f = F.col(label) == 1, F.col(decision) == 1
     one = lambda p: F.sum(F.when(p, 1).otherwise(0))
+    values = ["tp", "fp", "pos", "neg"]
     base = df.groupBy(cluster).agg(one(y & f).alias("tp"), one(~y & f).alias("fp"), one(y).alias("pos"), one(~y).alias("neg"))
-    measures = F.explode(F.array(
-        F.struct(F.lit("recall").alias("metric"), F.col("tp").alias("num"), F.col("pos").alias("den")),
-        F.struct(F.lit("fpr").alias("metric"), F.col("fp").alias("num"), F.col("neg").alias("den")),
-        F.struct(F.lit("precision").alias("metric"), F.col("tp").alias("num"), (F.col("tp") + F.col("fp")).alias("den"))))
-    counts = base.select(cluster, measures.alias("_m")).select(cluster, "_m.*")
-    w = weights(df, cluster, replicates, seed, method)
-    return with_intervals(rates(counts, ["metric"]), rate_replicates(counts, w, cluster, ["metric"]), ["metric"]).drop("p")
+
+    def measures(sums, keys):
+        part = lambda name, num, den: F.struct(
+            F.lit(name).alias("metric"), (num / F.nullif(den, F.lit(0))).alias("value"))
+        rows = F.explode(F.array(part("recall", F.col("tp"), F.col("pos")), part("fpr", F.col("fp"), F.col("neg")),
+                                 part("precision", F.col("tp"), F.col("tp") + F.col("fp"))))
+        return sums.select(*keys, rows.alias("_m")).select(*keys, "_m.*")
+
+    point = measures(base.agg(*[F.sum(v).alias(v) for v in values]), [])
+    reps = measures(replicate_sums(base, weights(df, cluster, replicates, seed, method), cluster, [], values), ["b"])
+    return with_intervals(point, reps, ["metric"]).drop("p")
 
 
 def comparisons(values: DataFrame, spec: DataFrame, extra=()) -> DataFrame:
@@ -140,11 +154,11 @@ def holm(df: DataFrame, p: str = "p", family: str = "family", id_col: str = "com
     return out.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def tested_families(counts: DataFrame, w: DataFrame, cluster: str, spec: DataFrame) -> DataFrame:
+def tested_families(counts: DataFrame, w: DataFrame, cluster: str, systems, spec: DataFrame) -> DataFrame:
     """STA8. Point difference, interval, p and adjusted p of every declared comparison."""
     keys = ["family", "comparison"]
-    point = comparisons(rates(counts), spec)
-    reps = comparisons(rate_replicates(counts, w, cluster), spec, ["b"])
+    point = comparisons(rates(counts, systems), spec)
+    reps = comparisons(rate_replicates(counts, w, cluster, systems), spec, ["b"])
     return holm(with_intervals(point, reps, keys))
 
 

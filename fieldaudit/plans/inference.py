@@ -58,21 +58,21 @@ def bootstrap_ci(spark, d):
 
 def bootstrap_rates(spark, d):
     counts, w = case_counts(spark, d), case_weights(spark, d)
-    out = op.with_intervals(op.rates(counts), op.rate_replicates(counts, w, "person_id"), ["mask", "system"])
+    out = op.with_intervals(op.rates(counts, SYSTEM_COLUMNS), op.rate_replicates(counts, w, "person_id", SYSTEM_COLUMNS), ["mask", "system"])
     return r6(out.drop("p"), "value", "lo", "hi")
 
 
 def holm_families(spark, d):
     spec = op.comparison_spec(spark, FAMILIES)
-    return r6(op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", spec),
+    return r6(op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", SYSTEM_COLUMNS, spec),
               "value", "lo", "hi", "p", "p_holm")
 
 
 def delta_rho(spark, d):
     counts, w = case_counts(spark, d), case_weights(spark, d)
     spec = op.comparison_spec(spark, DELTAS)
-    point = op.comparisons(op.rates(counts), spec)
-    reps = op.comparisons(op.rate_replicates(counts, w, "person_id"), spec, ["b"])
+    point = op.comparisons(op.rates(counts, SYSTEM_COLUMNS), spec)
+    reps = op.comparisons(op.rate_replicates(counts, w, "person_id", SYSTEM_COLUMNS), spec, ["b"])
     pairs = spark.createDataFrame(
         [(f"rho/{m}", f"Delta_ocr/{m}", f"Delta_gt/{m}") for m in ("forged", "forged/aadhaar", "forged/pan")],
         "ratio string, top string, bottom string")
@@ -86,7 +86,7 @@ def paired(spark, d):
     """STA2 and STA18: recall and FPR difference of two systems on the same replicates, as one decision row."""
     spec = op.comparison_spec(spark, {"paired": {
         "recall": [(1, "or_ocr", "forged"), (-1, "visual", "forged")], "fpr": [(1, "or_ocr", "c0"), (-1, "visual", "c0")]}})
-    out = op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", spec)
+    out = op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", SYSTEM_COLUMNS, spec)
     pick = lambda c, col, name: F.max(F.when(F.col("comparison") == c, F.col(col))).alias(name)
     row = out.groupBy("family").agg(
         pick("recall", "value", "recall_diff"), pick("recall", "lo", "recall_lo"), pick("recall", "hi", "recall_hi"),
