@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from fieldaudit.functions.draws import SEED, draw_hex
 
 # The 20-step cycle that the largest-deficit rule for shares 70/15/15 settles into.
-SPLIT_CYCLE = ("train train test train val train train test train train "
-               "test train val train train train test train val train").split()
+SPLIT_CYCLE = ("train train test train val train train train test train "
+               "train val train train train test train val train train").split()
 
 
 def with_position(df: DataFrame, id_col: str, strata=(), within=(), tag: str = "order", seed: int = SEED,

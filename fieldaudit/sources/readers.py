@@ -79,5 +79,5 @@ def epochs(spark: SparkSession, path) -> DataFrame:
 
 def split_map(spark: SparkSession, path) -> DataFrame:
     """SRC10. JSON object person -> split, as rows. The object is one document, one map by design."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("person_id", "split"))
