@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldaudit.functions.fields import SPLITS, map_key
 from fieldaudit.operators.characterise import total
-from fieldaudit.operators.reconcile import coverage_problems
+from fieldaudit.operators.reconcile import coverage_problems, field_differences
 
 
 def split_flags(df: DataFrame, key, split: str = "split") -> DataFrame:
@@ -100,10 +100,10 @@ def fresh_check(fresh: DataFrame, known: DataFrame, persons: int, id_columns) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def score_run_check(scores: DataFrame, manifest: DataFrame, splits, digest: Column | None = None) -> DataFrame:
+def score_run_check(scores: DataFrame, manifest: DataFrame, splits) -> DataFrame:
     """AUD5, AUD7. A score table against its manifest: exact ids, agreeing columns, finite logits."""
     pred = scores.withColumnRenamed("logit", "score")
-    wanted = manifest.where(F.col("split").isin(*splits)).withColumn("_split", F.col("split"))
+    wanted = manifest.where(F.col("split").isin(*splits))
     both = lambda d: d.withColumn("split", F.lit("run"))
     problems = coverage_problems(both(pred), both(wanted), "run", ("C0", "C1", "C2", "C3", "C4"), threshold=0.0)
     return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
@@ -111,8 +111,6 @@ def score_run_check(scores: DataFrame, manifest: DataFrame, splits, digest: Colu
 
 def index_check(a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:
     """AUD7. Two manifests agree row for row, and labels follow from categories: counts per problem."""
-    from fieldaudit.operators.reconcile import field_differences
-
     diff = field_differences(a, b, key, columns).groupBy(F.concat(F.col("field"), F.lit(" differs")).alias("problem")).agg(
         F.count(F.lit(1)).alias("n"))
     bad = a.where(F.col("label") != (F.col("forgery_category") != "C0").cast("int")).agg(F.count(F.lit(1)).alias("n"))
@@ -132,21 +130,39 @@ def self_check(stored: DataFrame, again: DataFrame, key: str, score: str, rows:
         "passed", F.col("max_diff") <= tolerance)
 
 
+FLAT_LIMIT = 100_000  # lines one task may order for the flat digest
+LEAF_LINES = 4096  # mean number of lines per leaf of the digest tree
+
+
+def _joined_digest(lines: Column, sep: str) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), sep), 256)
+
+
+def _line(key: str, sha: str) -> Column:
+    return F.concat(F.col(key).cast("string"), F.lit(":"), F.col(sha), F.lit("\n"))
+
+
 def flat_digest(rows: DataFrame, key: str, sha: str) -> DataFrame:
-    """AGG32 as defined: digest over ``id:sha`` lines in id order. For small tables; see ``tree_digest``."""
-    line = F.concat(F.col(key), F.lit(":"), F.col(sha), F.lit("\n"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"))
+    """AGG32 as defined: digest over ``id:sha`` lines in id order. Refuses tables beyond FLAT_LIMIT rows."""
+    if rows.limit(FLAT_LIMIT + 1).count() > FLAT_LIMIT:
+        raise ValueError(f"more than {FLAT_LIMIT} rows: use tree_digest")
+    return rows.agg(_joined_digest(_line(key, sha), "").alias("digest"))
 
 
-def tree_digest(rows: DataFrame, key: str, sha: str, hex_digits: int = 3) -> DataFrame:
-    """AGG32 at scale: a digest per bucket of ids, then one over the bucket digests.
+def tree_digest(rows: DataFrame, key: str, sha: str) -> DataFrame:
+    """AGG32 at scale: digests of id-hash ranges, digested upwards 256 at a time.
 
-    Buckets are ranges of the id's hash, so no task sees more than its share, whatever the ids are.
-    A bucket's lines are ordered inside the task that owns them.
+    The depth follows from the row count, so a leaf has some thousand lines and an inner node at most 256
+    children, however large the table is.
     """
-    bucket = F.substring(F.md5(F.col(key).cast("string")), 1, hex_digits).alias("bucket")
-    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(sha), F.lit("\n")).alias("line")
-    leaves = rows.select(bucket, line).groupBy("bucket").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("leaf"), F.count(F.lit(1)).alias("n"))
-    root = F.array_join(F.array_sort(F.collect_list(F.concat("bucket", F.lit(":"), "leaf"))), "\n")
-    return leaves.agg(F.sha2(root, 256).alias("digest"), F.sum("n").alias("n"))
+    n = rows.count()
+    digits = 2
+    while n > LEAF_LINES * 16**digits:
+        digits += 2
+    prefix = F.substring(F.md5(F.col(key).cast("string")), 1, digits).alias("node")
+    level = rows.select(prefix, _line(key, sha).alias("line")).groupBy("node").agg(
+        _joined_digest(F.col("line"), "").alias("leaf"), F.count(F.lit(1)).alias("n"))
+    for d in range(digits - 2, -1, -2):
+        level = level.groupBy(F.substring("node", 1, d).alias("node")).agg(
+            _joined_digest(F.concat("node", F.lit(":"), "leaf"), "\n").alias("leaf"), F.sum("n").alias("n"))
+    return level.select(F.col("leaf").alias("digest"), "n")

@@ -6,11 +6,12 @@ import math
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.measures import linear_score, log_loss, logit
+from fieldaudit.sources.store import cut
 
 # Search range of log temperature, and the range outside of which a fit is refused.
 LOG_T_RANGE = (-4.0, 4.0)
@@ -31,7 +32,7 @@ def fit_temperature(df: DataFrame, z: str, y: str, points: int = 17, width: floa
 
     Rows are first collapsed to distinct (logit, label) with counts, so later passes read less.
     """
-    counts = df.groupBy(F.col(z).alias("z"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(df.groupBy(F.col(z).alias("z"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")))
     low, high = LOG_T_RANGE
     while high - low > width:
         step = (high - low) / (points - 1)
@@ -82,8 +83,6 @@ def score_with(df: DataFrame, fitted: dict, out: str = "fused") -> DataFrame:
 def tree_probe(train: DataFrame, test: DataFrame, features: str, label: str, trees: int = 20, depth: int = 5,
                seed: int = 0) -> DataFrame:
     """STA15. Gradient-boosted trees on an array column; returns test rows with the class-1 probability."""
-    from pyspark.ml.functions import array_to_vector
-
     vec = lambda d: d.withColumn("_x", array_to_vector(features)).withColumn("_y", F.col(label).cast("double"))
     model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(vec(train))
     return model.transform(vec(test)).withColumn("prob", vector_to_array("probability")[1]).drop(

@@ -6,6 +6,8 @@ table, a function of (seed, replicate, draw), serves every measure of a job, so
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ _POISSON_STEPS = 12  # P(weight > 12) < 1e-10
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) count from a uniform draw, by its cumulative probabilities."""
-    import math
-
     w, cumulative = F.lit(0), 0.0
     for k in range(_POISSON_STEPS):
         cumulative += math.exp(-1) / math.factorial(k)

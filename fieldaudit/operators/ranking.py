@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldaudit.operators.positions import with_position
+
 
 def round_bits(x: Column, drop: int) -> Column:
     """A double rounded to 53 - ``drop`` significant bits (Veltkamp split); keeps order."""
@@ -175,14 +177,16 @@ def separability(near: DataFrame, far: DataFrame, value: str, keys) -> DataFrame
 
 
 def ordinal_ranks(df: DataFrame, score: str, id_col: str, keys, out: str) -> DataFrame:
-    """WIN10. Ordinal rank in (score, id) order; ties are split by id, not averaged."""
+    """WIN10. Ordinal rank by score; ties are not averaged but follow the hash order of their ids.
+
+    That order lets one score shared by a third of all rows spread over many tasks.
+    """
     keys = list(keys)
     counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    below = running_totals(counts, "score", ["n"], keys).select(*keys, "score", "below_n")
-    tied = Window.partitionBy(*keys, "_s").orderBy(id_col)
-    ranked = df.withColumn("_s", F.col(score).cast("double")).withColumn("_tie", F.row_number().over(tied))
-    joined = ranked.join(below.withColumnRenamed("score", "_s"), keys + ["_s"])
-    return joined.withColumn(out, F.col("below_n") + F.col("_tie") - 1).drop("_s", "_tie", "below_n")
+    below = running_totals(counts, "score", ["n"], keys).select(*keys, F.col("score").alias("_s"), "below_n")
+    tied = with_position(df.withColumn("_s", F.col(score).cast("double")), id_col, within=[*keys, "_s"], tag="tie", out="_tie")
+    joined = tied.join(below, keys + ["_s"])
+    return joined.withColumn(out, F.col("below_n") + F.col("_tie")).drop("_s", "_tie", "below_n")
 
 
 def balanced_accuracy(df: DataFrame, label: str, prob: str, keys, cut: float = 0.5) -> DataFrame:

@@ -6,12 +6,13 @@ is one row here. Distances are kept as histograms (at most 65 values), never as
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldaudit.functions.bits import hamming
+from fieldaudit.functions.bits import hamming, median
 from fieldaudit.functions.draws import SEED, draw
 from fieldaudit.functions.fields import SPLITS
 from fieldaudit.operators.positions import with_position
@@ -43,15 +44,24 @@ def distinct_hashes(df: DataFrame, h: str, id_col: str, split: str = "split") ->
     return df.groupBy(F.col(h).alias("h")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"), *per_split)
 
 
-def radius_pairs(df: DataFrame, h: str, id_col: str, radius: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """Fewest blocks whose band keys are wide enough that n spread-out fingerprints share few of them."""
+    blocks = radius + 1
+    while blocks < radius + 5 and 64 * (blocks - radius) // blocks < math.log2(max(n, 2)) - 3:
+        blocks += 1
+    return blocks
+
+
+def radius_pairs(df: DataFrame, h: str, id_col: str, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """JOI9. Pairs of fingerprints within a radius that occur across splits, with the number of row pairs.
 
-    Equi-join on bands instead of a comparison of everything. A pair that shares several bands is kept only
+    Equi-join on bands instead of a comparison of everything; the number of bands follows from the number of
+    fingerprints unless given. A pair that shares several bands is kept only
     for the first, so no distinct is needed. Bands of one member drop out before the join; large bands
     are split over tasks by salt. Equal fingerprints are counted without a join.
     """
-    masks = band_masks(radius, blocks)
     members = distinct_hashes(df, h, id_col)
+    masks = band_masks(radius, blocks or blocks_for(members.count(), radius))
     bands = members.select("*", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
     sizes = bands.groupBy("k", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     keyed = bands.join(sizes, ["k", "v"]).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
@@ -222,8 +232,6 @@ def ordered_extremes(values: str, k: int = 6):
     """WIN16. Largest and smallest ``k`` of an array over its median, with mean, sd and max over median."""
     sorted_values = F.transform(F.array_sort(F.col(values)), lambda v: v.cast("double"))
     n = F.size(values)
-    from fieldaudit.functions.bits import median
-
     mid = median(sorted_values) + 1e-6
     mean = F.aggregate(sorted_values, F.lit(0.0), lambda a, v: a + v) / n
     square = F.aggregate(sorted_values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n

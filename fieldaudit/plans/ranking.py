@@ -127,8 +127,9 @@ ORACLES = {
     "reliability_table": f"with {_rel} select 'all' as system, bin, n, round(confidence, 6) as confidence, round(observed, 6) as observed from rel",
     "calibration_error": f"with {_rel} select 'all' as system, round(sum(n * abs(confidence - observed)) / sum(n), 6) as ece from rel where n > 0",
     "balanced_accuracy": f"with {_prob} select 'all' as system, round((avg((prob > 0.6)::int) filter (where label = 1) + avg((prob <= 0.6)::int) filter (where label = 0)) / 2, 6) as balanced_accuracy from pr",
-    "ordinal_rank_correlation": f"""with {_graded}, r as (select system, row_number() over (partition by system order by score, doc_id) as ra,
-      row_number() over (partition by system order by doc_id % 97, doc_id) as rb from gd)
+    "ordinal_rank_correlation": f"""with {_graded}, h as (select *, md5(concat_ws('|', '42', doc_id::varchar, 'tie')) as h from gd),
+      r as (select system, row_number() over (partition by system order by score, h, doc_id) as ra,
+        row_number() over (partition by system order by doc_id % 97, h, doc_id) as rb from h)
       select system, round(corr(ra, rb), 6) as spearman, count(*) as n from r group by 1""",
     "split_assignment": sql.with_(sql.splits()) + "select person_id, position, split from splits",
     "balanced_sample": """with q as (select min(n) as quota from (select count(*) as n from labels group by quality)),
