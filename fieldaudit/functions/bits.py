@@ -18,7 +18,7 @@ def fingerprint(values: Column) -> Column:
 
     Up to 64 values; the result is a signed long (XOR and bit counts do not mind the sign).
     """
-    threshold = median(F.array_sort(F.slice(values, 2, F.size(values) - 1)))
+    threshold = median(F.sort_array(F.slice(values, 2, F.size(values) - 1)))
 
     def push(acc, v):
         bit = F.when(v.cast("double") > acc["t"], F.lit(1)).otherwise(F.lit(0)).cast("long")
@@ -30,7 +30,7 @@ def fingerprint(values: Column) -> Column:
 
 def fingerprint_words(values: Column, words: int) -> Column:
     """FN23 for 64 x ``words`` values (256 bits is four longs): one threshold, one long per 64 values."""
-    threshold = median(F.array_sort(F.slice(values, 2, F.size(values) - 1)))
+    threshold = median(F.sort_array(F.slice(values, 2, F.size(values) - 1)))
     out = []
     for w in range(words):
         def push(acc, v):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.bits import hamming, median
@@ -228,20 +228,19 @@ def median_ratio(df: DataFrame, value: str, keys) -> DataFrame:
     return kept.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("median"))
 
 
-def ordered_extremes(values: str, k: int = 6):
-    """WIN16. Largest and smallest ``k`` of an array over its median, with mean, sd and max over median."""
-    sorted_values = F.transform(F.array_sort(F.col(values)), lambda v: v.cast("double"))
-    n = F.size(values)
-    mid = median(sorted_values) + 1e-6
-    mean = F.aggregate(sorted_values, F.lit(0.0), lambda a, v: a + v) / n
-    square = F.aggregate(sorted_values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    over = lambda a: F.transform(a, lambda v: v / mid)
-    top = over(F.slice(sorted_values, n - k + 1, k))
-    low = over(F.slice(sorted_values, 1, k))
-    return F.concat(top, low, F.array(mean, F.sqrt(square), F.element_at(sorted_values, -1) / mid))
+def with_extremes(df: DataFrame, values: str, out: str, k: int = 6) -> DataFrame:
+    """WIN16. Largest and smallest ``k`` of an array over its median, with mean, sd and max over median.
 
-
-def window_first(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key under an order with a unique last column."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    The sorted array and its moments are columns of their own, so each is computed once per row.
+    """
+    df = df.withColumn("_v", F.transform(F.sort_array(values), lambda v: v.cast("double")))
+    n = F.size("_v")
+    df = df.withColumns({
+        "_mid": median(F.col("_v")) + 1e-6,
+        "_mean": F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / n,
+    })
+    square = F.aggregate("_v", F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean"))) / n
+    over = lambda a: F.transform(a, lambda v: v / F.col("_mid"))
+    features = F.concat(over(F.slice("_v", n - k + 1, k)), over(F.slice("_v", 1, k)),
+                        F.array(F.col("_mean"), F.sqrt(square), F.element_at("_v", -1) / F.col("_mid")))
+    return df.withColumn(out, features).drop("_v", "_mid", "_mean")

@@ -11,7 +11,7 @@ from fieldaudit.operators import evaluate as ev
 from fieldaudit.operators import fitting as op
 from fieldaudit.operators import positions, ranking
 from fieldaudit.operators.masks import in_split
-from fieldaudit.operators.similarity import ordered_extremes
+from fieldaudit.operators.similarity import with_extremes
 from fieldaudit.plans import sql
 from fieldaudit.plans.ranking import events
 from fieldaudit.sources.tables import cases, spread, table
@@ -83,7 +83,8 @@ def fitted_coefficients(spark, d):
 def tree_probe(spark, d):
     """Probe of one embedding class half against the other, on balanced rows of two halves of the ids."""
     v = spread(table(spark, d, "embeddings"), "vec_id").select(
-        "vec_id", (F.col("label") >= 5).cast("int").alias("label"), ordered_extremes("embedding").alias("f"))
+        "vec_id", (F.col("label") >= 5).cast("int").alias("label"), "embedding")
+    v = with_extremes(v, "embedding", "f").drop("embedding")
     train = positions.balanced_sample(v.where("vec_id % 2 = 0"), "vec_id", "label", 2200)
     test = positions.balanced_sample(v.where("vec_id % 2 = 1"), "vec_id", "label", 2200)
     out = op.tree_probe(train, test, "f", "label").withColumn("system", F.lit("probe"))

@@ -43,7 +43,7 @@ def vectors(spark, d):
 
 
 def extremes(spark, d):
-    df = vectors(spark, d).select("vec_id", op.ordered_extremes("embedding").alias("f"))
+    df = op.with_extremes(vectors(spark, d).select("vec_id", "embedding"), "embedding", "f")
     return r6(df.select("vec_id", F.posexplode("f").alias("place", "value")), "value")
 
 
