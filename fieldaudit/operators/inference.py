@@ -1,7 +1,9 @@
 """Cluster bootstrap and multiple testing: STA1-STA9, STA18, WIN7.
 
-Rows are reduced to counts per (cluster, cell) first; only those counts meet the replicate weights. One weight
-table, a function of (seed, replicate, draw), serves every measure of a job, so paired measures share it.
+Rows are reduced to counts per (cluster, cell) first. The weight of a cluster in a replicate is a Poisson(1) count, a function
+of (seed, replicate, cluster) alone: it is computed in the row that needs it, at every table size, so paired measures share
+their weights without a weight table or a join. Eight replicates share one digest and are summed side by side as columns; what
+is exchanged has a row per cell and eight replicates, never one per cluster and replicate.
 """
 
 from __future__ import annotations
@@ -11,49 +13,53 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldaudit.functions.draws import SEED, draw
+from fieldaudit.functions.draws import SEED, draw_hex
 from fieldaudit.operators.masks import explode_masks
-from fieldaudit.operators.positions import with_position
-from fieldaudit.operators.ranking import auroc
+from fieldaudit.operators.ranking import running_totals
 
-# Resampling with exact multinomial counts makes replicates x clusters draws. Above this many clusters the
-# independent Poisson(1) form is used instead; the two agree as the number of clusters grows.
-MULTINOMIAL_LIMIT = 100_000
-_POISSON_STEPS = 12  # P(weight > 12) < 1e-10
+LANES = 8  # replicates that one digest serves, four hexadecimal digits each
+#: A draw of 16 bits counts the borders it reaches; P(weight > 6) is below the 2^-16 it can tell apart.
+POISSON_BORDERS = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):04x}" for k in range(6))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform draw, by its cumulative probabilities."""
-    w, cumulative = F.lit(0), 0.0
-    for k in range(_POISSON_STEPS):
-        cumulative += math.exp(-1) / math.factorial(k)
-        w = w + F.when(u >= cumulative, 1).otherwise(0)
-    return w
+def lane_weights(cluster: Column, block: Column, seed: int = SEED) -> list[Column]:
+    """STA3. The weights of a cluster in the replicates ``LANES * block`` and following."""
+    digest = draw_hex(block, cluster, "boot", seed=seed)
+    out = []
+    for lane in range(LANES):
+        u = F.substring(digest, 4 * lane + 1, 4)
+        w = F.when(u < POISSON_BORDERS[0], 0)
+        for k, border in enumerate(POISSON_BORDERS[1:], 1):
+            w = w.when(u < border, k)
+        out.append(w.otherwise(len(POISSON_BORDERS)))
+    return out
 
 
-def weights(clusters: DataFrame, cluster: str, replicates: int, seed: int = SEED, method: str = "auto") -> DataFrame:
-    """STA3. Replicate weights as rows (b, cluster, w); zero weights are left out.
+def with_lanes(counts: DataFrame, cluster: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """Every row once per block of replicates, with its weights ``_w0`` and following."""
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // LANES))
+    df = counts.withColumn("_block", F.explode(blocks))
+    return df.withColumns({f"_w{k}": w for k, w in enumerate(lane_weights(F.col(cluster), F.col("_block"), seed))})
 
-    ``multinomial`` draws as many clusters as there are, with replacement. ``poisson`` is the large-table
-    form. ``auto`` counts the clusters to choose.
-    """
-    distinct = clusters.select(cluster).distinct()
-    n = distinct.count() if method in ("auto", "multinomial") else None
-    if method == "poisson" or (method == "auto" and n > MULTINOMIAL_LIMIT):
-        b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-        u = F.pmod(draw(F.col("b"), F.col(cluster), "poisson", seed=seed), F.lit(2**52)) / float(2**52)
-        return distinct.select(cluster, b).withColumn("w", poisson_weight(u)).where(F.col("w") > 0)
-    indexed = with_position(distinct, cluster, tag="cluster", seed=seed, out="_pick")
-    slots = clusters.sparkSession.range(replicates * n).select(
-        F.expr(f"cast(id div {max(n, 1)} as int)").alias("b"), F.pmod("id", F.lit(max(n, 1))).alias("j"))
-    picked = slots.groupBy("b", F.pmod(draw(F.col("b"), F.col("j"), "boot", seed=seed), F.lit(max(n, 1))).alias("_pick")).agg(
-        F.count(F.lit(1)).cast("int").alias("w"))
-    return picked.join(indexed, "_pick").select("b", cluster, "w")
-
-
-def replicate_sums(counts: DataFrame, w: DataFrame, cluster: str, keys, values) -> DataFrame:
+
+def weights(clusters: DataFrame, cluster: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """STA3. The same weights as rows (b, cluster, w), for callers that want them; zero weights are left out."""
+    df = with_lanes(clusters.select(cluster).distinct(), cluster, replicates, seed)
+    return by_replicate(df, [cluster], {"w": "_w{}"}, replicates).where("w > 0").select("b", cluster, "w")
+
+
+def by_replicate(df: DataFrame, keys, columns: dict[str, str], replicates: int) -> DataFrame:
+    """(keys, b, columns) from rows whose columns stand side by side for the replicates of a block."""
+    lanes = F.explode(F.array(*[F.struct((F.col("_block") * LANES + k).alias("b"), *[F.col(c.format(k)).alias(n) for n, c in columns.items()])
+                                for k in range(LANES)]))
+    return df.select(*keys, lanes.alias("_lane")).select(*keys, "_lane.*").where(F.col("b") < replicates)
+
+
+def replicate_sums(counts: DataFrame, cluster: str, replicates: int, keys, values, seed: int = SEED) -> DataFrame:
     """Weighted sums of per-cluster counts for every replicate: (keys, b, values)."""
-    return counts.join(w, cluster).groupBy(*keys, "b").agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
+    sums = with_lanes(counts, cluster, replicates, seed).groupBy(*keys, "_block").agg(
+        *[F.sum(F.col(v) * F.col(f"_w{k}")).alias(f"_{v}_{k}") for v in values for k in range(LANES)])
+    return by_replicate(sums, keys, {v: f"_{v}_{{}}" for v in values}, replicates)
 
 
 def rate_counts(df: DataFrame, cluster: str, cell, systems: dict[str, str], masks: dict[str, Column]) -> DataFrame:
@@ -80,9 +86,9 @@ def rates(counts: DataFrame, systems) -> DataFrame:
     return _rates(sums, ["mask"], systems)
 
 
-def rate_replicates(counts: DataFrame, w: DataFrame, cluster: str, systems) -> DataFrame:
+def rate_replicates(counts: DataFrame, replicates: int, cluster: str, systems) -> DataFrame:
     """STA4, replicates (mask, system, b, value)."""
-    sums = replicate_sums(counts, w, cluster, ["mask"], ["den", *[f"k_{s}" for s in systems]])
+    sums = replicate_sums(counts, cluster, replicates, ["mask"], ["den", *[f"k_{s}" for s in systems]])
     return _rates(sums, ["mask", "b"], systems)
 
 
@@ -105,8 +111,7 @@ def with_intervals(point: DataFrame, replicates: DataFrame, keys) -> DataFrame:
     return point.join(intervals(replicates, keys), list(keys), "left")
 
 
-def bootstrap(df: DataFrame, cluster: str, label: str, decision: str, replicates: int, seed: int = SEED,
-              method: str = "auto") -> DataFrame:
+def bootstrap(df: DataFrame, cluster: str, label: str, decision: str, replicates: int, seed: int = SEED) -> DataFrame:
     """STA1. Recall, false-positive rate and precision with intervals; undefined replicates are skipped."""
     y, f = F.col(label) == 1, F.col(decision) == 1
     one = lambda p: F.sum(F.when(p, 1).otherwise(0))
@@ -121,7 +126,7 @@ def bootstrap(df: DataFrame, cluster: str, label: str, decision: str, replicates
         return sums.select(*keys, rows.alias("_m")).select(*keys, "_m.*")
 
     point = measures(base.agg(*[F.sum(v).alias(v) for v in values]), [])
-    reps = measures(replicate_sums(base, weights(df, cluster, replicates, seed, method), cluster, [], values), ["b"])
+    reps = measures(replicate_sums(base, cluster, replicates, [], values, seed), ["b"])
     return with_intervals(point, reps, ["metric"]).drop("p")
 
 
@@ -154,11 +159,11 @@ def holm(df: DataFrame, p: str = "p", family: str = "family", id_col: str = "com
     return out.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def tested_families(counts: DataFrame, w: DataFrame, cluster: str, systems, spec: DataFrame) -> DataFrame:
+def tested_families(counts: DataFrame, replicates: int, cluster: str, systems, spec: DataFrame) -> DataFrame:
     """STA8. Point difference, interval, p and adjusted p of every declared comparison."""
     keys = ["family", "comparison"]
     point = comparisons(rates(counts, systems), spec)
-    reps = comparisons(rate_replicates(counts, w, cluster, systems), spec, ["b"])
+    reps = comparisons(rate_replicates(counts, replicates, cluster, systems), spec, ["b"])
     return holm(with_intervals(point, reps, keys))
 
 
@@ -180,14 +185,22 @@ def ratios(point: DataFrame, reps: DataFrame, pairs: DataFrame, compat_round: bo
     return with_intervals(divide(point, []), divide(reps, ["b"]), ["ratio"]).drop("p")
 
 
-def auroc_replicates(df: DataFrame, w: DataFrame, cluster: str, label: str, score: str, keys) -> DataFrame:
-    """STA5, STA9. Weighted AUROC per replicate and curve; a replicate without both classes is null."""
-    y = F.col(label)
+def auroc_replicates(df: DataFrame, replicates: int, cluster: str, label: str, score: str, keys, seed: int = SEED) -> DataFrame:
+    """STA5, STA9. Weighted AUROC per replicate and curve; a replicate without both classes is null.
+
+    Running totals are taken over the distinct scores of a curve, for the replicates of a block at once.
+    """
+    y, lanes = F.col(label), range(LANES)
     per = df.groupBy(cluster, *keys, F.col(score).alias("score")).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"))
-    sums = per.join(w, cluster).groupBy(*keys, "b", "score").agg(
-        F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    return auroc(sums, [*keys, "b"], strict=False).select(*keys, "b", F.col("auroc").alias("value"))
+    sums = with_lanes(per, cluster, replicates, seed).groupBy(*keys, "_block", "score").agg(
+        *[F.sum(F.col(v) * F.col(f"_w{k}")).alias(f"{v}_{k}") for v in ("pos", "neg") for k in lanes])
+    run = running_totals(sums, "score", [f"neg_{k}" for k in lanes], [*keys, "_block"])
+    out = run.groupBy(*keys, "_block").agg(
+        *[F.sum(F.col(f"pos_{k}") * (F.col(f"below_neg_{k}") + F.col(f"neg_{k}") / 2)).alias(f"u_{k}") for k in lanes],
+        *[F.sum(f"{v}_{k}").cast("double").alias(f"n_{v}_{k}") for v in ("pos", "neg") for k in lanes])
+    out = by_replicate(out, keys, {"u": "u_{}", "n_pos": "n_pos_{}", "n_neg": "n_neg_{}"}, replicates)
+    return out.select(*keys, "b", (F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0.0))).alias("value"))
 
 
 def decision_rule(df: DataFrame) -> DataFrame:

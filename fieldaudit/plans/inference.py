@@ -12,7 +12,8 @@ from fieldaudit.plans.evaluate import _combined, systems_cte
 from fieldaudit.plans.ranking import _ev, events
 from fieldaudit.sources.tables import cases
 
-B_EVENTS, B_AUROC, B_CASES = 200, 50, 100
+#: Replicates: of the evaluator's intervals, of ranking measures, of the published comparisons.
+B_EVENTS, B_AUROC, B_CASES = 2_000, 2_000, 10_000
 CELL = ["doc_type", "forgery_category", "quality_tier"]
 MASKS = ("forged", "c0", "forged/aadhaar", "forged/pan", "c0/aadhaar", "c0/pan", "c0/severe", "c0/clean")
 MASK_SQL = {"forged": "label = 1", "c0": "label = 0", "forged/aadhaar": "label = 1 and doc_type = 'aadhaar'",
@@ -47,32 +48,28 @@ def case_counts(spark, d):
     return op.rate_counts(combined_systems(cases(spark, d)), "person_id", CELL, SYSTEM_COLUMNS, masks)
 
 
-def case_weights(spark, d):
-    return op.weights(cases(spark, d), "person_id", B_CASES)
-
-
 def bootstrap_ci(spark, d):
     ev = events(spark, d).withColumn("flag", (F.col("score") >= 30).cast("int"))
     return r6(op.bootstrap(ev, "user_id", "label", "flag", B_EVENTS), "value", "lo", "hi")
 
 
 def bootstrap_rates(spark, d):
-    counts, w = case_counts(spark, d), case_weights(spark, d)
-    out = op.with_intervals(op.rates(counts, SYSTEM_COLUMNS), op.rate_replicates(counts, w, "person_id", SYSTEM_COLUMNS), ["mask", "system"])
+    counts = case_counts(spark, d)
+    out = op.with_intervals(op.rates(counts, SYSTEM_COLUMNS), op.rate_replicates(counts, B_CASES, "person_id", SYSTEM_COLUMNS), ["mask", "system"])
     return r6(out.drop("p"), "value", "lo", "hi")
 
 
 def holm_families(spark, d):
     spec = op.comparison_spec(spark, FAMILIES)
-    return r6(op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", SYSTEM_COLUMNS, spec),
+    return r6(op.tested_families(case_counts(spark, d), B_CASES, "person_id", SYSTEM_COLUMNS, spec),
               "value", "lo", "hi", "p", "p_holm")
 
 
 def delta_rho(spark, d):
-    counts, w = case_counts(spark, d), case_weights(spark, d)
+    counts = case_counts(spark, d)
     spec = op.comparison_spec(spark, DELTAS)
     point = op.comparisons(op.rates(counts, SYSTEM_COLUMNS), spec)
-    reps = op.comparisons(op.rate_replicates(counts, w, "person_id", SYSTEM_COLUMNS), spec, ["b"])
+    reps = op.comparisons(op.rate_replicates(counts, B_CASES, "person_id", SYSTEM_COLUMNS), spec, ["b"])
     pairs = spark.createDataFrame(
         [(f"rho/{m}", f"Delta_ocr/{m}", f"Delta_gt/{m}") for m in ("forged", "forged/aadhaar", "forged/pan")],
         "ratio string, top string, bottom string")
@@ -86,7 +83,7 @@ def paired(spark, d):
     """STA2 and STA18: recall and FPR difference of two systems on the same replicates, as one decision row."""
     spec = op.comparison_spec(spark, {"paired": {
         "recall": [(1, "or_ocr", "forged"), (-1, "visual", "forged")], "fpr": [(1, "or_ocr", "c0"), (-1, "visual", "c0")]}})
-    out = op.tested_families(case_counts(spark, d), case_weights(spark, d), "person_id", SYSTEM_COLUMNS, spec)
+    out = op.tested_families(case_counts(spark, d), B_CASES, "person_id", SYSTEM_COLUMNS, spec)
     pick = lambda c, col, name: F.max(F.when(F.col("comparison") == c, F.col(col))).alias(name)
     row = out.groupBy("family").agg(
         pick("recall", "value", "recall_diff"), pick("recall", "lo", "recall_lo"), pick("recall", "hi", "recall_hi"),
@@ -97,8 +94,7 @@ def paired(spark, d):
 
 def bootstrap_auroc(spark, d):
     ev = events(spark, d)
-    w = op.weights(ev, "user_id", B_AUROC)
-    reps = op.auroc_replicates(ev, w, "user_id", "label", "score", ["system"])
+    reps = op.auroc_replicates(ev, B_AUROC, "user_id", "label", "score", ["system"])
     return r6(op.intervals(reps, ["system"]).drop("p"), "lo", "hi")
 
 
@@ -109,7 +105,7 @@ def bootstrap_auroc_difference(spark, d):
         F.struct(F.lit("value").alias("system"), F.col("score").alias("score")),
         F.struct(F.lit("coarse").alias("system"), F.floor(F.col("score") / 10).cast("double").alias("score")))).alias("x")
     ).select("user_id", "label", "x.*")
-    reps = op.auroc_replicates(two, op.weights(ev, "user_id", B_AUROC), "user_id", "label", "score", ["system"])
+    reps = op.auroc_replicates(two, B_AUROC, "user_id", "label", "score", ["system"])
     diff = reps.groupBy("b").agg(F.sum(F.when(F.col("system") == "value", F.col("value")).otherwise(-F.col("value"))).alias("value"))
     return r6(op.intervals(diff.withColumn("quantity", F.lit("value - coarse")), ["quantity"]), "lo", "hi", "p")
 
@@ -122,14 +118,16 @@ QUERIES = {
 
 
 def weights_sql(relation, cluster, b):
-    return f"""cl as (select {cluster}, row_number() over (order by md5(concat_ws('|', '42', {cluster}::varchar, 'cluster')), {cluster}) - 1 as pick
-   from (select distinct {cluster} from {relation})),
- np as (select count(*) as p from cl),
- w as materialized (select b, {cluster}, count(*) as w from (select b, ('0x' || substr(md5(concat_ws('|', '42', b::varchar, j::varchar, 'boot')), 1, 15))::bigint % p as pick
-   from range(0, {b}) tb(b), (select unnest(range(0, p)) as j, p from np)) join cl using (pick) group by 1, 2)"""
+    """Every (replicate, cluster) weight: four digits of a digest, counted against the borders of a Poisson(1)."""
+    steps = " ".join(f"when u < '{border}' then {k}" for k, border in enumerate(op.POISSON_BORDERS))
+    return f"""w as materialized (select b, {cluster}, w from (select b, {cluster}, case {steps} else {len(op.POISSON_BORDERS)} end as w
+   from (select block * {op.LANES} + lane as b, {cluster}, substr(digest, (4 * lane + 1)::int, 4) as u
+     from (select {cluster}, block, md5(concat_ws('|', '42', block::varchar, {cluster}::varchar, 'boot')) as digest
+       from (select distinct {cluster} from {relation}), range(0, {(b - 1) // op.LANES + 1}) tb(block)), range(0, {op.LANES}) tl(lane))) where w > 0 and b < {b})"""
 
 
 _q = "round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.975), 6) as hi"
+_systems = list(SYSTEM_COLUMNS)
 _counts = ", ".join([
     sql.cases().strip(), _combined, systems_cte(SYSTEM_COLUMNS),
     "pc as materialized (" + " union all ".join(
@@ -137,7 +135,11 @@ _counts = ", ".join([
         for m, p in MASK_SQL.items()) + ")",
     weights_sql("cases", "person_id", B_CASES),
     "pt as (select mask, system, sum(num)::double / sum(den) as value from pc group by 1, 2)",
-    "rp as materialized (select mask, system, b, sum(num * w)::double / nullif(sum(den * w), 0) as value from pc join w using (person_id) group by 1, 2, 3)",
+    "wide as materialized (select person_id, mask, any_value(den)::int as den, "
+    + ", ".join(f"sum(case when system = '{s}' then num else 0 end)::int as k_{s}" for s in _systems) + " from pc group by 1, 2)",
+    "rw as materialized (select mask, b, sum(den * w) as den, " + ", ".join(f"sum(k_{s} * w) as k_{s}" for s in _systems)
+    + " from wide join w using (person_id) group by 1, 2)",
+    "rp as materialized (" + " union all ".join(f"select mask, '{s}' as system, b, k_{s}::double / nullif(den, 0) as value from rw" for s in _systems) + ")",
 ])
 
 

@@ -10,17 +10,33 @@ def test_holm(spark):
     assert got == pytest.approx({"a": .03, "b": .06, "c": .06, "d": .6})
 
 
-@pytest.mark.parametrize("method", ["multinomial", "poisson"])
-def test_weights(spark, method):
+def test_weights(spark):
     clusters = spark.range(400).select(F.col("id").alias("c"))
-    w = inference.weights(clusters, "c", 50, method=method)
-    total = w.groupBy("b").agg(F.sum("w").alias("s")).agg(F.min("s"), F.max("s"), F.avg("s"), F.count("*")).first()
-    assert total[3] == 50
-    if method == "multinomial":
-        assert total[0] == total[1] == 400
-    else:
-        assert abs(total[2] - 400) < 15
-    assert w.count() / (50 * 400) == pytest.approx(0.632, abs=0.02)
+    w = inference.weights(clusters, "c", 50)
+    total = w.groupBy("b").agg(F.sum("w").alias("s")).agg(F.avg("s"), F.count("*"), F.max("b")).first()
+    assert abs(total[0] - 400) < 15 and total[1] == 50 and total[2] == 49
+    shares = {r["w"]: r["n"] / (50 * 400) for r in w.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    assert shares[1] == pytest.approx(0.3679, abs=0.02) and shares[2] == pytest.approx(0.1839, abs=0.02)
+
+
+def test_weights_do_not_depend_on_the_other_clusters(spark):
+    """One rule at every size: a cluster's weights are the same in a table of 3 and of 3,000 clusters."""
+    rows = lambda n: {(r["b"], r["c"]): r["w"] for r in inference.weights(spark.range(n).select(F.col("id").alias("c")), "c", 20).where("c < 3").collect()}
+    assert rows(3) == rows(3000)
+
+
+def test_replicate_sums_equal_joined_weights(spark):
+    counts = spark.range(60).select((F.col("id") % 20).alias("c"), (F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    got = {(r["g"], r["b"]): r["v"] for r in inference.replicate_sums(counts, "c", 13, ["g"], ["v"]).collect()}
+    w = inference.weights(counts, "c", 13)
+    want = counts.join(w, "c").groupBy("g", "b").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    assert {k: v for k, v in got.items() if v} == {(r["g"], r["b"]): r["v"] for r in want.collect() if r["v"]} and len(got) == 39
+
+
+def test_no_exchange_of_clusters_by_replicates(spark):
+    counts = spark.range(60).select(F.col("id").alias("c"), F.lit(1).alias("v"))
+    plan = inference.replicate_sums(counts, "c", 1000, [], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
 
 
 def test_bootstrap_skips_undefined(spark):
