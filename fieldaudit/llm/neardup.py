@@ -6,10 +6,13 @@
 2. Equal sets are one node, found by a digest of the set. Bands of ``ROWS`` slots put nodes into buckets. A pair at the
    least linked similarity 0.85 misses all 32 bands with probability 3e-7 (1 - 0.85^6, to the power 32).
 3. Buckets are not expanded into pairs. In two rounds every node is compared with one pivot from its buckets and what is
-   linked is merged. Afterwards only pairs of different components remain to be looked at, by a bucket's smaller components
-   against all of it. So a group of near copies costs one comparison a copy, and no link between components is left out.
-4. Before sets are fetched, a pair must agree in size (exact) and in one bit of each slot (at most ``MOST_BITS`` of 192 may
-   differ: a linked pair exceeds that with probability below 1e-8). Every link is confirmed on the full sets.
+   linked is merged, so a group of near copies costs one comparison a copy. Only nodes in buckets that still hold several
+   components go on. They meet by the shingles that may be the first they share, rarest first, the smaller components of
+   such a shingle against all of it: no link between components is left out, and copies too far apart do not meet.
+4. Before sets are fetched, a pair must pass two tests. Shingles that no other node has cannot be in an intersection, which
+   bounds the similarity of a pair (exactly); that settles copies with too many changes of their own without any comparison.
+   And one bit of each slot is compared: at most ``MOST_BITS`` of 192 may differ, which a linked pair exceeds with
+   probability below 1e-8. Every link is confirmed on the full sets.
 
 Sets are computed a second time, for the nodes in shared buckets only, so that no set of a lone text is ever stored.
 
@@ -166,11 +169,24 @@ def node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["node", "items"])
 
 
-def similar_enough(a: str, b: str, percent: int) -> Column:
-    """What two sketches rule out: sizes too far apart, or too many differing bits."""
+def similar_enough(a: str, b: str, percent: int, rest: bool = False) -> Column:
+    """What two sketches rule out: too many differing bits, or too few shingles that either has in common with any node.
+
+    The intersection is at most the lesser ``n_common``, and the union at least both sizes less that. ``rest`` are the shingles
+    from the one that made the pair on, in an order common to all nodes: no more can be shared if it is the first one shared.
+    """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    both = F.least(F.col(f"{a}.n_common"), F.col(f"{b}.n_common"))
+    if rest:
+        both = F.least(both, F.col(f"{a}.rest"), F.col(f"{b}.rest"))
     differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(SLOTS // 64)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= MOST_BITS)
+    return (both * 100 >= (n + m - both) * percent) & (differ <= MOST_BITS)
+
+
+def own_counts(sets: DataFrame) -> DataFrame:
+    """(node, n_own): the shingles of a node that no other node has."""
+    alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return alone.where("n = 1").groupBy("node").agg(F.count("*").alias("n_own"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,8 +207,10 @@ def with_component(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """At most one pair (node, pivot) for each node that shares a bucket with another component."""
-    fields = ["n_shingles", *(f"b{k}" for k in range(SLOTS // 64))]
-    rank = F.xxhash64("node", F.lit(turn))
+    fields = ["n_shingles", "n_common", *(f"b{k}" for k in range(SLOTS // 64))]
+    # First the node with the least of its own, which the others tend to be copies of; then any.
+    own = 1 - F.col("n_common") / F.col("n_shingles") if turn == 0 else F.lit(0.0)
+    rank = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("draw"))
     pivot = members.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "part", *fields)).alias("pivot"), F.min("part").alias("one"),
                                           F.max("part").alias("other"))
     pivot = pivot.where("one != other").select("bucket", "pivot.*")
@@ -201,6 +219,25 @@ def pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.groupBy(F.col("m.node").alias("u")).agg(F.min(F.struct("p.rank", "p.node")).alias("best")).select("u", F.col("best.node").alias("v"))
 
 
+def rare_first(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes of mixed buckets, once for each shingle that may be the first they share with a linked node.
+
+    With the shingles of all nodes in one order, linked nodes share one of the first n - ceil(n * percent / 100) + 1. The rarest
+    come first, so a copy with many changes has only its changes there and meets only nodes that share one of them.
+    """
+    mixed = members.groupBy("bucket").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one != other").select("bucket")
+    nodes = members.where(F.col("n_common") * 100 >= F.col("n_shingles") * percent).join(mixed, "bucket", "left_semi").drop("bucket").dropDuplicates(["node"])
+    nodes = keep(nodes, "unsettled")
+    items = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("item", "common_item")
+    ordered = items.join(often, F.col("item") == F.col("common_item"), "left").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "item"))).alias("items"))
+    first = F.slice("items", 1, F.size("items") - F.ceil(F.size("items") * percent / F.lit(100)).cast("int") + 1)
+    places = ordered.select("node", F.size("items").alias("size"), F.posexplode(first).alias("place", "x")).where("x.n > 1")
+    places = places.select("node", F.col("x.item").alias("bucket"), (F.col("size") - F.col("place")).cast("long").alias("rest"))
+    return keep(places.join(nodes, "node"), "rare-first")
+
+
 def other_pairs(members: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components in a bucket: its smaller components against the whole bucket."""
     parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n"))
@@ -208,14 +245,13 @@ def other_pairs(members: DataFrame, percent: int) -> DataFrame:
     largest = largest.where("parts > 1").select("bucket", F.col("top.part").alias("main"))
     few = members.join(largest, "bucket").where("part != main")
     pairs = few.alias("m").join(members.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.part") != F.col("p.part"))
-                                & ((F.col("p.part") == F.col("m.main")) | (F.col("m.node") < F.col("p.node"))) & similar_enough("m", "p", percent))
+                                & ((F.col("p.part") == F.col("m.main")) | (F.col("m.node") < F.col("p.node"))) & similar_enough("m", "p", percent, rest=True))
     return pairs.select(F.col("m.node").alias("u"), F.col("p.node").alias("v")).distinct()
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """The rows whose key is in ``ids`` (a kept table): a broadcast below a counted size, a shuffled join beyond it."""
-    wanted = F.broadcast(ids) if ids.count() <= limit else ids
-    return docs.join(wanted, "key", "left_semi")
+def lookup(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A kept table of ids as the side of a join: a broadcast below a counted size, shuffled beyond it."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -229,13 +265,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = banded.join(shared, "bucket").join(nodes.select("node", "first", "n_shingles", "bits"), "node")
     members = keep(members.select("bucket", "node", "first", "n_shingles", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SLOTS // 64))), "members")
     wanted = keep(members.select(F.col("first").alias("key")).where("key is not null").distinct(), "wanted")
-    some = only_ids(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), wanted).select("text")
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(lookup(wanted), "key", "left_semi").select("text")
     sets = keep(some.mapInArrow(node_sets, "node binary, items array<long>").dropDuplicates(["node"]), "sets")
-    members = members.drop("first")
+    own = own_counts(sets)
+    common = (F.col("n_shingles") - F.coalesce("n_own", F.lit(0).cast("long"))).alias("n_common")
+    members = keep(members.join(own, "node", "left").select("bucket", "node", "n_shingles", common, *(f"b{k}" for k in range(SLOTS // 64))), "members")
     found = None
     for turn in range(ROUNDS + 1):
         at = keep(with_component(members, found), "at")
-        pairs = pivot_pairs(at, turn, percent) if turn < ROUNDS else other_pairs(at, percent)
+        pairs = pivot_pairs(at, turn, percent) if turn < ROUNDS else other_pairs(rare_first(at, sets, percent), percent)
         links = keep(confirmed(pairs, sets, percent), "links")
         if not links.isEmpty():
             found = components(links if found is None else links.union(found))
@@ -253,6 +291,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The documents whose key names their component."""
     found = keep(near_duplicates(docs, key, text, percent), "near-duplicates")
-    gone = found.where("key != component_id").select(F.col("key").alias("gone_key")).distinct()
+    gone = keep(found.where("key != component_id").select(F.col("key").alias("gone_key")).distinct(), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("row_key"))
-    return rows.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").select("row.*")
+    return rows.join(lookup(gone), F.col("row_key") == F.col("gone_key"), "left_anti").select("row.*")
