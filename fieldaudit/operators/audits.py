@@ -48,6 +48,12 @@ def check_row(df: DataFrame, name: str, violations: str, gating: bool = True) ->
     return df.select(F.lit(name).alias("check"), F.col(violations).cast("long").alias("violations"), passed.alias("passed"))
 
 
+def with_overall(checks: DataFrame, *measures: Column) -> DataFrame:
+    """The checks, each a row of its own, and their total under the name ``all``, from one pass over them."""
+    out = checks.groupingSets([["check"], []], "check").agg(*measures, F.grouping("check").alias("_total"))
+    return out.withColumn("check", F.when(F.col("_total") == 1, "all").otherwise(F.col("check"))).drop("_total")
+
+
 def leakage_audit(cases: DataFrame) -> DataFrame:
     """AUD1. The five gating checks and the overall verdict."""
     shared = lambda d, v: split_intersections(d, v).agg(F.sum("shared").alias("v"))
@@ -62,9 +68,7 @@ def leakage_audit(cases: DataFrame) -> DataFrame:
         check_row(shared(cases, "person_id"), "identity", "v"), check_row(shared(ids, "own_id"), "identifier", "v"),
         check_row(lacks, "template", "v"), check_row(span(cases, "document_id"), "augmentation", "v"),
         check_row(span(values, "printed"), "printed_values", "v")])
-    overall = checks.agg(F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed")).select(
-        F.lit("all").alias("check"), "violations", "passed")
-    return checks.unionByName(overall)
+    return with_overall(checks, F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed"))
 
 
 def split_check(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def index_check(a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:
 
 def rerun_check(checks: DataFrame) -> DataFrame:
     """AUD6. Named checks (check, passed) with the overall verdict appended."""
-    return checks.unionByName(checks.agg(F.bool_and("passed").alias("passed")).select(F.lit("all").alias("check"), "passed"))
+    return with_overall(checks, F.bool_and("passed").alias("passed"))
 
 
 def self_check(stored: DataFrame, again: DataFrame, key: str, score: str, rows: int = 40, tolerance: float = 0.01) -> DataFrame:
@@ -130,8 +134,7 @@ def self_check(stored: DataFrame, again: DataFrame, key: str, score: str, rows:
         "passed", F.col("max_diff") <= tolerance)
 
 
-FLAT_LIMIT = 100_000  # lines one task may order for the flat digest
-LEAF_LINES = 4096  # mean number of lines per leaf of the digest tree
+DIGITS = 8  # hexadecimal digits of the id's hash that name a leaf of the digest tree: 2^32 leaves at every table size
 
 
 def _joined_digest(lines: Column, sep: str) -> Column:
@@ -142,27 +145,15 @@ def _line(key: str, sha: str) -> Column:
     return F.concat(F.col(key).cast("string"), F.lit(":"), F.col(sha), F.lit("\n"))
 
 
-def flat_digest(rows: DataFrame, key: str, sha: str) -> DataFrame:
-    """AGG32 as defined: digest over ``id:sha`` lines in id order. Refuses tables beyond FLAT_LIMIT rows."""
-    if rows.limit(FLAT_LIMIT + 1).count() > FLAT_LIMIT:
-        raise ValueError(f"more than {FLAT_LIMIT} rows: use tree_digest")
-    return rows.agg(_joined_digest(_line(key, sha), "").alias("digest"))
-
-
 def tree_digest(rows: DataFrame, key: str, sha: str) -> DataFrame:
-    """AGG32 at scale: digests of id-hash ranges, digested upwards 256 at a time.
+    """AGG32. Digest of ``id:sha`` lines: leaves by the first digits of the id's hash, folded two digits at a time.
 
-    The depth follows from the row count, so a leaf has some thousand lines and an inner node at most 256
-    children, however large the table is.
+    The shape is fixed, so the digest depends on the rows alone. An inner node has at most 256 children, and a leaf one row in
+    2^32.
     """
-    n = rows.count()
-    digits = 2
-    while n > LEAF_LINES * 16**digits:
-        digits += 2
-    prefix = F.substring(F.md5(F.col(key).cast("string")), 1, digits).alias("node")
-    level = rows.select(prefix, _line(key, sha).alias("line")).groupBy("node").agg(
-        _joined_digest(F.col("line"), "").alias("leaf"), F.count(F.lit(1)).alias("n"))
-    for d in range(digits - 2, -1, -2):
+    level = rows.select(F.substring(F.md5(F.col(key).cast("string")), 1, DIGITS).alias("node"), _line(key, sha).alias("line"))
+    level = level.groupBy("node").agg(_joined_digest(F.col("line"), "").alias("leaf"), F.count(F.lit(1)).alias("n"))
+    for d in range(DIGITS - 2, -1, -2):
         level = level.groupBy(F.substring("node", 1, d).alias("node")).agg(
             _joined_digest(F.concat("node", F.lit(":"), "leaf"), "\n").alias("leaf"), F.sum("n").alias("n"))
     return level.select(F.col("leaf").alias("digest"), "n")

@@ -31,13 +31,18 @@ def unpivot_counts(df: DataFrame, keys, name: str, columns: dict[str, list[str]]
     return df.select(*keys, rows.alias("_r")).select(*keys, "_r.*")
 
 
+def total_name(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Names the total row of a grouping-sets result; a null of the data stays null."""
+    return df.withColumn(column, F.when(F.col("_total") == 1, name).otherwise(F.col(column))).drop("_total")
+
+
 def composition(cases: DataFrame) -> DataFrame:
     """AGG1. Counts per (doc, category, tier) with the (doc, category) totals, in one pass."""
     out = cases.groupingSets(
         [["doc_type", "forgery_category", "quality_tier"], ["doc_type", "forgery_category"]],
         "doc_type", "forgery_category", "quality_tier",
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("quality_tier", F.coalesce("quality_tier", F.lit("ALL")))
+    ).agg(F.count(F.lit(1)).alias("n"), F.grouping("quality_tier").alias("_total"))
+    return total_name(out, "quality_tier", "ALL")
 
 
 def totals(cases: DataFrame) -> DataFrame:
@@ -159,8 +164,8 @@ def flips_all_tier(cases: DataFrame) -> DataFrame:
         [["forgery_category", "doc_type", "quality_tier"], ["forgery_category", "doc_type"]],
         "forgery_category", "doc_type", "quality_tier",
     ).agg(F.count(F.lit(1)).alias("n"), total(~gt & ~ocr).alias("stable_pass"), total(gt & ocr).alias("stable_fail"),
-          total(~gt & ocr).alias("ocr_induced"), total(gt & ~ocr).alias("ocr_masked"))
-    return out.withColumn("quality_tier", F.coalesce("quality_tier", F.lit("all")))
+          total(~gt & ocr).alias("ocr_induced"), total(gt & ~ocr).alias("ocr_masked"), F.grouping("quality_tier").alias("_total"))
+    return total_name(out, "quality_tier", "all")
 
 
 def fpr_by_tier(cases: DataFrame) -> DataFrame:
@@ -168,8 +173,8 @@ def fpr_by_tier(cases: DataFrame) -> DataFrame:
     out = cases.where(F.col("label") == 0).groupingSets(
         [["doc_type", "quality_tier"], ["doc_type"]], "doc_type", "quality_tier",
     ).agg(F.count(F.lit(1)).alias("n"), total(F.col("rule_ocr") == 1).alias("fp"),
-          total(F.col("rule_gt") == 1).alias("fp_gt"))
-    return with_wilson(out.withColumn("quality_tier", F.coalesce("quality_tier", F.lit("ALL"))), "fp", "n")
+          total(F.col("rule_gt") == 1).alias("fp_gt"), F.grouping("quality_tier").alias("_total"))
+    return with_wilson(total_name(out, "quality_tier", "ALL"), "fp", "n")
 
 
 def fpr_by_naming(cases: DataFrame) -> DataFrame:

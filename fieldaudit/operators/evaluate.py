@@ -17,8 +17,8 @@ def core_metrics(counts: DataFrame) -> DataFrame:
     df = counts.withColumns({
         "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "fpr": ratio(fp, fp + tn),
         "fnr": ratio(fn, fn + tp), "specificity": ratio(tn, tn + fp),
-        "undefined": F.concat_ws("; ", F.when(tp + fp == 0, "nothing flagged"), F.when(tp + fn == 0, "no forged images"),
-                                 F.when(fp + tn == 0, "no C0 images")),
+        "undefined": F.concat_ws("; ", F.when(tp + fp == 0, "no row is flagged"), F.when(tp + fn == 0, "no row is forged"),
+                                 F.when(fp + tn == 0, "no row is genuine")),
     })
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p.isNull() | r.isNull(), None).when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
@@ -83,9 +83,9 @@ def rule_metrics(cases: DataFrame, verdicts: dict[str, str]) -> DataFrame:
         cols = [f"{text}_{m}" for m in ("tp", "fp", "tn", "fn")]
         aggs += [a.alias(c) for a, c in zip(confusion_aggs(truth, F.col(column) == "FAIL"), cols)]
         layout[text] = ["n"] + cols
-    g = cases.groupingSets([[], ["doc_type"], ["forgery_category"]], "doc_type", "forgery_category").agg(*aggs)
-    g = g.withColumns({"doc_type": F.coalesce("doc_type", F.lit("all")),
-                       "forgery_category": F.coalesce("forgery_category", F.lit("all"))})
+    g = cases.groupingSets([[], ["doc_type"], ["forgery_category"]], "doc_type", "forgery_category").agg(
+        *aggs, *[F.grouping(c).alias(f"_all_{c}") for c in ("doc_type", "forgery_category")])
+    g = g.withColumns({c: F.when(F.col(f"_all_{c}") == 1, "all").otherwise(F.col(c)) for c in ("doc_type", "forgery_category")})
     keys = ["doc_type", "forgery_category"]
     out = unpivot_counts(g, keys, "text", layout, ["n", "tp", "fp", "tn", "fn"])
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))

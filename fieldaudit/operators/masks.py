@@ -6,6 +6,9 @@ and only then copies each cell into the subsets it belongs to: rows are never mu
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +24,31 @@ def in_split(split: str, categories=CATEGORIES) -> Column:
     return (F.col("split") == split) & F.col("forgery_category").isin(*categories)
 
 
+#: The names of the analysis's subsets. A name is a path of dimension values, "/" between them.
+NAMED = {
+    "forged": {"forged": True}, "c0": {"forgery_category": ("C0",)}, "c1": {"forgery_category": ("C1",)}, "eligible": {"expected_rule": ("FAIL",)},
+    "c1_fine": {"forgery_category": ("C1",), "c1_op": FINE_OPS}, "c1_coarse": {"forgery_category": ("C1",), "c1_op": COARSE_OPS},
+}
+#: Subsets made by narrowing a named one (or none) down to every value of further dimensions.
+NARROWED = (("", ("forgery_category",)), ("", ("doc_type", "forgery_category")), ("c1", ("c1_op",)), ("forged", ("doc_type",)), ("forged", ("quality_tier",)),
+            ("c0", ("doc_type",)), ("c0", ("quality_tier",)), ("c0", ("doc_type", "quality_tier")), ("c1", ("quality_tier",)))
+VALUES = {"forgery_category": CATEGORIES, "doc_type": DOC_TYPES, "quality_tier": TIERS, "c1_op": FINE_OPS + COARSE_OPS}
+
+
+def _predicate(filters: dict) -> Column:
+    """All filters of a subset: the values a dimension may have; ``forged`` is any category but C0."""
+    terms = [F.col("forgery_category") != "C0" if d == "forged" else F.col(d).isin(*allowed) for d, allowed in filters.items()]
+    return reduce(lambda a, b: a & b, terms)
+
+
 def case_masks() -> dict[str, Column]:
-    """FLT2. The 45 named subsets of the analysis, as predicates on CELL columns."""
-    cat, doc, tier, op = (F.col(c) for c in ("forgery_category", "doc_type", "quality_tier", "c1_op"))
-    forged, c0, c1 = cat != "C0", cat == "C0", cat == "C1"
-    masks = {
-        "forged": forged, "c0": c0, "eligible": F.col("expected_rule") == "FAIL", "c1": c1,
-        "c1_fine": c1 & op.isin(*FINE_OPS), "c1_coarse": c1 & op.isin(*COARSE_OPS),
-    }
-    masks |= {c: cat == c for c in CATEGORIES}
-    for d in DOC_TYPES:
-        masks |= {f"forged/{d}": forged & (doc == d), f"c0/{d}": c0 & (doc == d)}
-        masks |= {f"{d}/{c}": (doc == d) & (cat == c) for c in CATEGORIES}
-    for t in TIERS:
-        masks |= {f"c0/{t}": c0 & (tier == t), f"c1/{t}": c1 & (tier == t), f"forged/{t}": forged & (tier == t)}
-        masks |= {f"c0/{d}/{t}": c0 & (doc == d) & (tier == t) for d in DOC_TYPES}
-    masks |= {f"c1/{o}": c1 & (op == o) for o in FINE_OPS + COARSE_OPS}
-    return masks
+    """FLT2. The named subsets of the analysis, as predicates on CELL columns."""
+    subsets = dict(NAMED)
+    for base, dimensions in NARROWED:
+        for values in product(*(VALUES[d] for d in dimensions)):
+            name = "/".join([base] * bool(base) + list(values))
+            subsets[name] = NAMED.get(base, {}) | {d: (v,) for d, v in zip(dimensions, values)}
+    return {name: _predicate(filters) for name, filters in subsets.items()}
 
 
 def explode_masks(cells: DataFrame, masks: dict[str, Column], name: str = "mask") -> DataFrame:
@@ -58,7 +69,7 @@ def genuine_strata() -> dict[str, Column]:
 
 def has_text(map_col: str) -> Column:
     """FLT3: rows with extracted text."""
-    return F.col(map_col).isNotNull() & (F.size(map_col) > 0)
+    return F.coalesce(F.size(map_col) > 0, F.lit(False))
 
 
 def valid_score(score: str) -> Column:

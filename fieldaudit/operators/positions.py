@@ -53,13 +53,13 @@ def first_by_hash(df: DataFrame, id_col: str, quota: DataFrame, within, tag: str
     return placed.join(F.broadcast(quota), list(within)).where(F.col("position") < F.col("quota")).drop("quota")
 
 
-def balanced_sample(df: DataFrame, id_col: str, label: str, cap: int, seed: int = SEED) -> DataFrame:
-    """WIN13. The same number of rows per class: the smallest class size, at most ``cap``.
+def balanced_sample(df: DataFrame, id_col: str, label: str, cap: int | None = None, seed: int = SEED) -> DataFrame:
+    """WIN13. The same number of rows per class: the smallest class size, or ``cap`` where the rows are for a fit of bounded size.
 
     The quota table has one row per class, so it is broadcast.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    least = sizes.agg(F.least(F.min("n"), F.lit(cap)).alias("quota"))
+    least = sizes.agg(F.least(F.min("n"), F.lit(cap).cast("long")).alias("quota"))
     quota = sizes.select(label, least.scalar().alias("quota"))
     return first_by_hash(df, id_col, quota, [label], "balance", seed)
 

@@ -24,16 +24,25 @@ def coverage_problems(pred: DataFrame, manifest: DataFrame, split: str, categori
         raise ValueError("prediction table needs a decision or a score column")
     if "decision" not in columns and threshold is None:
         raise ValueError("scores without a threshold leave decisions undefined")
-    checks = []
+    checks = {}
     if "score" in columns:
-        checks.append(F.when(~valid_score("p.score"), "score not finite"))
+        checks["score not finite"] = ~valid_score("score")
     if "decision" in columns:
-        checks.append(F.when(~valid_decision("p.decision"), "decision not 0 or 1"))
+        checks["decision not 0 or 1"] = ~valid_decision("decision")
+    # Of a repeated id every row is tested: a fault of any of them is one of the id.
+    compared = [c for c in shared if c in columns]
     per_key = pred.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min(F.struct(*[F.col(c) for c in columns if c != key])).alias("p"))
+        F.count(F.lit(1)).alias("_rows"), *[F.bool_or(F.coalesce(test, F.lit(True))).alias(f"_bad_{k}") for k, test in enumerate(checks.values())],
+        *[a for c in compared for a in (F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"), F.count(c).alias(f"_n_{c}"))])
     m = manifest.select(F.col(key), F.struct(*shared).alias("m"))
     joined = per_key.join(m, key, "full_outer")
+
+    def agrees(c: str) -> Column:
+        """All rows of the id have the manifest's value, null among them only where it is null there."""
+        want, all_null = F.col(f"m.{c}"), F.col(f"_n_{c}") == 0
+        same = (F.col(f"_lo_{c}") == want) & (F.col(f"_hi_{c}") == want) & (F.col(f"_n_{c}") == F.col("_rows"))
+        return F.when(want.isNull(), all_null).otherwise(F.coalesce(same, F.lit(False)))
+
     here, known = F.col("_rows").isNotNull(), F.col("m").isNotNull()
     in_cats = F.col("m.forgery_category").isin(*categories)
     wanted = known & (F.col("m.split") == split) & in_cats
@@ -41,9 +50,8 @@ def coverage_problems(pred: DataFrame, manifest: DataFrame, split: str, categori
         F.when(here & ~known, "unknown id"), F.when(F.col("_rows") > 1, "duplicate id"),
         F.when(here & known & (F.col("m.split") != split), "other split"),
         F.when(here & known & ~in_cats, "outside category set"), F.when(wanted & ~here, "missing"),
-        *[F.when(here, c) for c in checks],
-        *[F.when(here & known & ~F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")), f"{c} disagrees")
-          for c in shared if c in columns],
+        *[F.when(here & F.col(f"_bad_{k}"), name) for k, name in enumerate(checks)],
+        *[F.when(here & known & ~agrees(c), f"{c} disagrees") for c in compared],
     ]
     return joined.select(key, F.explode(F.array_compact(F.array(*tests))).alias("problem"))
 
@@ -75,12 +83,13 @@ def field_differences(a: DataFrame, b: DataFrame, key: str, columns) -> DataFram
 def seed_ensemble(scores: DataFrame, temperatures: DataFrame, n_seeds: int, key: str = "image_id") -> DataFrame:
     """JOI4, JOI18, AGG27. Mean over seeds of temperature-scaled probabilities.
 
-    ``temperatures`` has one row per seed and is broadcast. A row without all seeds is an error.
+    ``temperatures`` has one row per seed and is broadcast. A row without all seeds, or with one of them twice, is an error.
     """
     p = scores.join(F.broadcast(temperatures), "seed").withColumn("p", sigmoid(F.col("logit"), F.col("temperature")))
-    out = p.groupBy(key).agg(F.avg("p").alias("prob"), F.countDistinct("seed").alias("_n"))
-    short = F.raise_error(F.lit("a row lacks some seeds")).cast("double")
-    return out.select(key, F.when(F.col("_n") == n_seeds, F.col("prob")).otherwise(short).alias("prob"))
+    out = p.groupBy(key).agg(F.avg("p").alias("prob"), F.countDistinct("seed").alias("_n"), F.count("*").alias("_rows"))
+    short = F.raise_error(F.lit("a row lacks some seeds or repeats one")).cast("double")
+    whole = (F.col("_n") == n_seeds) & (F.col("_rows") == n_seeds)
+    return out.select(key, F.when(whole, F.col("prob")).otherwise(short).alias("prob"))
 
 
 def aligned(tables: dict[str, DataFrame], key: str) -> DataFrame:
@@ -98,7 +107,7 @@ def key_gaps(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """JOI13. Values of one corpus found in another."""
-    return a.select(column).distinct().join(b.select(column), column, "left_semi")
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi")
 
 
 def file_status(listed: DataFrame, found: DataFrame, key: str = "file", size: str = "bytes") -> DataFrame:

@@ -16,7 +16,7 @@ from fieldaudit.functions.bits import hamming, median
 from fieldaudit.functions.draws import SEED, draw
 from fieldaudit.functions.fields import SPLITS
 from fieldaudit.operators.positions import with_position
-from fieldaudit.operators.ranking import separability
+from fieldaudit.operators.ranking import running_totals, separability
 from fieldaudit.sources.store import cut
 
 SALT_ROWS = 2000  # rows of one band value that one task compares with the whole band
@@ -222,10 +222,26 @@ def near_duplicate_overlap(df: DataFrame, id_col: str, h: str) -> DataFrame:
 
 
 def median_ratio(df: DataFrame, value: str, keys) -> DataFrame:
-    """AGG31. Median per group with NaN left out, per (first key, second key) and per first key."""
-    sets = [list(keys[:i]) for i in range(1, len(keys) + 1)]
+    """AGG31. Median per group with NaN left out, per (first key, second key) and per first key.
+
+    Works on distinct values with counts and running totals over them, so no task holds the values of a group.
+    """
+    keys, every, null = list(keys), "\x00every", "\x00null"
     kept = df.where(~F.isnan(value) & F.col(value).isNotNull())
-    return kept.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("median"))
+    name = lambda k, i: (F.coalesce(F.col(keys[k]).cast("string"), F.lit(null)) if k < i else F.lit(every)).alias(f"_k{k}")
+    sets = F.explode(F.array(*[F.struct(*[name(k, i) for k in range(len(keys))]) for i in range(1, len(keys) + 1)])).alias("_s")
+    group = [f"_k{k}" for k in range(len(keys))]
+    counts = kept.select(F.col(value).cast("double").alias("score"), sets).select("score", "_s.*").groupBy(*group, "score").agg(
+        F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, "score", ["n"], group)
+    size = counts.groupBy(*group).agg(F.sum("n").alias("size"))
+    run = run.join(size, group)
+    holds = lambda place: F.when((F.col("below_n") <= place) & (place < F.col("below_n") + F.col("n")), F.col("score"))
+    middle = (F.max(holds(F.expr("(size - 1) div 2"))) + F.max(holds(F.expr("size div 2")))) / 2
+    out = run.groupBy(*group).agg(F.max("size").alias("n"), middle.alias("median"))
+    kinds = dict(df.dtypes)
+    return out.select(*[F.when(~F.col(g).isin(every, null), F.col(g)).cast(kinds[k]).alias(k) for g, k in zip(group, keys)],
+                      *[(F.col(g) == every).alias(f"all_{k}") for g, k in zip(group[1:], keys[1:])], "n", "median")
 
 
 def with_extremes(df: DataFrame, values: str, out: str, k: int = 6) -> DataFrame:

@@ -317,9 +317,10 @@ ORACLES = {
       select case when fd.file is null then 'missing' when fl.file is null then 'extra' when fl.bytes <> fd.bytes then 'wrong size' else 'ok' end as status, count(*) as n
       from fl full join fd on fl.file = fd.file group by 1""",
     "digest_status": f"""with {_files} select case when doc_id % 41 = 3 then 'missing' when doc_id % 43 = 5 then 'different' else 'identical' end as status, count(*) as n from fl group by 1""",
-    "tree_digest": f"""with {_files}, l as (select substr(md5(doc_id::varchar), 1, 2) as bucket, doc_id::varchar || ':' || sha || chr(10) as line from fl),
-      b as (select bucket, sha256(string_agg(line, '' order by line)) as leaf, count(*) as n from l group by 1)
-      select sha256(string_agg(bucket || ':' || leaf, chr(10) order by bucket)) as digest, sum(n)::bigint as n from b""",
+    "tree_digest": f"""with {_files}, l as (select substr(md5(doc_id::varchar), 1, 8) as node, doc_id::varchar || ':' || sha || chr(10) as line from fl),
+      d8 as (select node, sha256(string_agg(line, '' order by line)) as leaf, count(*) as n from l group by 1)
+      """ + "".join(f""", d{d} as (select substr(node, 1, {d}) as node, sha256(string_agg(node || ':' || leaf, chr(10) order by node)) as leaf, sum(n)::bigint as n
+      from d{d + 2} group by 1)""" for d in (6, 4, 2, 0)) + " select leaf as digest, n from d0",
     "shared_identifiers": f"{_c} select print_name from cases where split = 'test' intersect select print_name from cases where split = 'train'",
     "region_grid_labels": f"with {_regions} select image_id, tile, tx, ty, tile_label from tl",
     "tile_document_scores": f"""with {_regions}, s as (select image_id, tile, (('0x' || substr(md5(concat_ws('|', '42', image_id::varchar, tile::varchar, 'tile')), 1, 15))::bigint % 1000) / 100.0::double

@@ -61,8 +61,8 @@ def confusion_sql(relation, key, truth, flag):
       round(case when tp + fn > 0 then fn::double / (tp + fn) end, 6) as fnr,
       round(case when fp + tn > 0 then tn::double / (fp + tn) end, 6) as specificity,
       round(case when tp + fp > 0 and tp + fn > 0 then case when tp = 0 then 0 else 2.0::double * tp / (2 * tp + fp + fn) end end, 6) as f1,
-      concat_ws('; ', case when tp + fp = 0 then 'nothing flagged' end, case when tp + fn = 0 then 'no forged images' end,
-        case when fp + tn = 0 then 'no C0 images' end) as undefined
+      concat_ws('; ', case when tp + fp = 0 then 'no row is flagged' end, case when tp + fn = 0 then 'no row is forged' end,
+        case when fp + tn = 0 then 'no row is genuine' end) as undefined
       from (select {key}, count(*) filter (where {truth} = 1 and {flag} = 1) as tp, count(*) filter (where {truth} = 0 and {flag} = 1) as fp,
         count(*) filter (where {truth} = 0 and {flag} = 0) as tn, count(*) filter (where {truth} = 1 and {flag} = 0) as fn
         from {relation} group by 1)"""

@@ -80,13 +80,16 @@ def fitted_coefficients(spark, d):
     return spark.createDataFrame(rows, "name string, value double").withColumn("value", F.round("value", 4))
 
 
+FIT_ROWS = 2200  # rows a class that the probe is fitted on
+
+
 def tree_probe(spark, d):
-    """Probe of one embedding class half against the other, on balanced rows of two halves of the ids."""
+    """Probe of one embedding class half against the other: fitted on balanced even rows (FIT_ROWS a class), tested on all odd ones."""
     v = spread(table(spark, d, "embeddings"), "vec_id").select(
         "vec_id", (F.col("label") >= 5).cast("int").alias("label"), "embedding")
     v = with_extremes(v, "embedding", "f").drop("embedding")
-    train = positions.balanced_sample(v.where("vec_id % 2 = 0"), "vec_id", "label", 2200)
-    test = positions.balanced_sample(v.where("vec_id % 2 = 1"), "vec_id", "label", 2200)
+    train = positions.balanced_sample(v.where("vec_id % 2 = 0"), "vec_id", "label", FIT_ROWS)
+    test = v.where("vec_id % 2 = 1")
     out = op.tree_probe(train, test, "f", "label").withColumn("system", F.lit("probe"))
     auc = ranking.auroc(ranking.score_counts(out, "label", "prob", ["system"]), ["system"], strict=False)
     acc = ranking.balanced_accuracy(out, "label", "prob", ["system"])

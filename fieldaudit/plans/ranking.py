@@ -79,7 +79,7 @@ QUERIES = {
     "ordinal_rank_correlation": rank_pair,
     "split_assignment": lambda s, d: person_splits(s, d).select("person_id", "position", "split"),
     "balanced_sample": lambda s, d: positions.balanced_sample(
-        spread(table(s, d, "labels"), "doc_id"), "doc_id", "quality", 2200).select("doc_id", "quality", "position"),
+        spread(table(s, d, "labels"), "doc_id"), "doc_id", "quality").select("doc_id", "quality", "position"),
     "epoch_sample": lambda s, d: positions.epoch_sample(
         spread(table(s, d, "labels"), "doc_id").select("doc_id", F.col("toxic").alias("label")), "doc_id", "label", 2, 3),
     "early_stop": lambda s, d: positions.epoch_plan(epochs(s, d), "metric", 4),
@@ -134,7 +134,7 @@ ORACLES = {
     "split_assignment": sql.with_(sql.splits()) + "select person_id, position, split from splits",
     "balanced_sample": """with q as (select min(n) as quota from (select count(*) as n from labels group by quality)),
       r as (select doc_id, quality, row_number() over (partition by quality order by md5(concat_ws('|', '42', doc_id::varchar, 'balance')), doc_id) - 1 as position from labels)
-      select doc_id, quality, position from r, q where position < least(quota, 2200)""",
+      select doc_id, quality, position from r, q where position < quota""",
     "epoch_sample": """with e as (select e::int as epoch from range(1, 4) t(e)),
       r as (select epoch, doc_id, toxic as label, row_number() over (partition by epoch order by md5(concat_ws('|', '42', epoch::varchar || ':' || doc_id::varchar, 'epoch')), epoch::varchar || ':' || doc_id::varchar) - 1 as p
         from labels, e where toxic = 0)

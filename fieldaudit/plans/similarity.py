@@ -17,8 +17,8 @@ FEATURES = "abcdefghijklmnopqrstuvwxyz0123456789 .,;:!?-_/@#()[]éèêàçöüä
 
 def text_hashes(spark, d):
     """Fingerprint of each document's character counts, with capture group, person and split. Written once."""
-    def build():
-        docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    def build(session):
+        docs = spread(table(session, d, "documents").select("doc_id", "text"), "doc_id")
         size = F.length("text")
         counts = F.array(*[size - F.length(F.replace("text", F.lit(c))) for c in FEATURES])
         person = F.floor(F.col("doc_id") / 6)
@@ -65,7 +65,7 @@ QUERIES = {
             "l_returnflag", "l_linestatus",
             F.when(F.col("l_quantity") > 1, F.col("l_extendedprice") / F.col("l_quantity")).otherwise(float("nan")).alias("ratio")),
         "ratio", ["l_returnflag", "l_linestatus"]).withColumn(
-        "l_linestatus", F.coalesce("l_linestatus", F.lit("ALL"))), "median"),
+        "l_linestatus", F.when(F.col("all_l_linestatus"), "ALL").otherwise(F.col("l_linestatus"))).drop("all_l_linestatus"), "median"),
 }
 
 

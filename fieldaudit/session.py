@@ -24,13 +24,3 @@ def local_session(cores: str | int = "8", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Checkpoint folder named by the cluster; ``fallback`` only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or fallback
-    if not path:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors can reach")
-    spark.sparkContext.setCheckpointDir(path)
-    return path

@@ -1,52 +1,56 @@
-"""Derived tables written once per application, then scanned like any stored table.
+"""Derived tables made once per application, then scanned like any stored table.
 
-A written table cuts lineage for good: it survives lost executors, and later queries push filters and
-column lists into its scan instead of recomputing it.
+Where the cluster names a shared folder in spark.checkpoint.dir, the table is written there: that cuts lineage for good, and
+later queries push filters and column lists into its scan. Without one it is persisted with its lineage, so that lost parts are
+computed again; nothing is ever written to a folder of one machine.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[tuple[str, str, str], str] = {}
-_local_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder the cluster names in spark.checkpoint.dir; a scratch folder only for a local session without one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors can reach")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="fieldaudit-"))
-    return _local_root[0]
-
-
-def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The named table derived from ``source``; built and written on first use in this application."""
-    app = spark.sparkContext.applicationId
-    key = (app, name, source)
-    if key not in _written:
-        path = f"{shared_root(spark)}/fieldaudit/{app}/{len(_written)}-{name}"
-        # A derivation of some hundred expressions is past what one generated method can hold; projection by
-        # projection it compiles in a fraction of the time and runs faster.
-        whole_stage = spark.conf.get("spark.sql.codegen.wholeStage")
-        spark.conf.set("spark.sql.codegen.wholeStage", "false")
-        try:
-            build().write.mode("overwrite").parquet(path)
-        finally:
-            spark.conf.set("spark.sql.codegen.wholeStage", whole_stage)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+_made: dict[tuple[str, str, str], str | None] = {}
+
+
+def shared_root(spark: SparkSession) -> str | None:
+    """The folder that the cluster names in spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
+
+
+def side_session(spark: SparkSession) -> SparkSession:
+    """A session with settings of its own for wide derivations: past what one generated method holds, whole-stage code is slower
+    to make and to run than one projection after another. The caller's settings stay as they are."""
+    side = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        side.conf.set(name, spark.conf.get(name))
+    side.conf.set("spark.sql.codegen.wholeStage", "false")
+    return side
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[SparkSession], DataFrame]) -> DataFrame:
+    """The named table derived from ``source``; made on first use in this application."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _made:
+        root, df = shared_root(spark), build(side_session(spark))
+        if root:
+            path = f"{root}/fieldaudit/{key[0]}/{len(_made)}-{name}"
+            df.write.mode("overwrite").parquet(path)
+        else:
+            path = None
+            df.persist(StorageLevel.MEMORY_AND_DISK).count()
+        _made[key] = path
+    # All sessions of an application share what is persisted: the same derivation is answered from there.
+    return spark.read.parquet(_made[key]) if _made[key] else build(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, for frames a loop builds on."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_root(spark))
+    """A frame that a loop builds on: a reliable checkpoint in the shared folder, or persisted with its lineage."""
+    root = shared_root(df.sparkSession)
+    if not root:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint()

@@ -12,12 +12,7 @@ from fieldaudit.operators.positions import assign_splits
 from fieldaudit.sources.store import stored
 
 
-# HotSpot does not compile methods above 8000 bytes; wide projections then run faster split up.
-HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set(*HUGE_METHOD)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,10 +39,10 @@ def person_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case table with splits, written once per application (the counterpart of a stored manifest)."""
-    def build():
-        split = person_splits(spark, sf_dir).select("person_id", "split")
+    def build(session):
+        split = person_splits(session, sf_dir).select("person_id", "split")
         own = F.when(F.col("doc_type") == "pan", F.col("pan")).otherwise(F.col("aadhaar"))
-        joined = derive_cases(spark, sf_dir).withColumn("own_id", own).join(split, "person_id", "left")
+        joined = derive_cases(session, sf_dir).withColumn("own_id", own).join(split, "person_id", "left")
         return joined.select(*CASE_COLUMNS)
 
     return stored(spark, "cases", sf_dir, build)

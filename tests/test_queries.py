@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from fieldaudit.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(tiny):
     return check.connect(tiny)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_agrees(spark, con, tiny, name):
     text, _, ok = check.compare(spark, con, name, tiny)
     assert ok, text

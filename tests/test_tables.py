@@ -109,7 +109,11 @@ def test_digests(spark):
     df = spark.createDataFrame([("b", "22"), ("a", "11")], "image_id string, sha string")
     import hashlib
 
-    assert audits.flat_digest(df, "image_id", "sha").first()[0] == hashlib.sha256(b"a:11\nb:22\n").hexdigest()
+    level = {hashlib.md5(k.encode()).hexdigest()[:8]: hashlib.sha256(f"{k}:{v}\n".encode()).hexdigest() for k, v in (("a", "11"), ("b", "22"))}
+    for d in (6, 4, 2, 0):
+        nodes = {n[:d] for n in level}
+        level = {p: hashlib.sha256("\n".join(sorted(f"{n}:{x}" for n, x in level.items() if n.startswith(p))).encode()).hexdigest() for p in nodes}
+    assert audits.tree_digest(df, "image_id", "sha").first()[0] == level[""]
     assert audits.tree_digest(df, "image_id", "sha").first() == audits.tree_digest(df.repartition(5), "image_id", "sha").first()
 
 
