@@ -30,6 +30,8 @@ WIDTH = 3
 STEPS = 40
 #: Pseudo-counts of each vote and class.
 SMOOTH = 1.0
+#: A rule votes bad on at most this share of good texts. Without the bound a fault common enough could settle among the good.
+MOST_FALSE = 0.01
 BAD, GOOD, NONE = 0, 1, 2
 
 
@@ -90,7 +92,7 @@ def per(a: str, b: str) -> Callable[[Column], Column]:
 #: abstains where it finds none: that most texts lack a given fault says nothing about the other faults.
 RULES: dict[str, tuple[Callable[[Column], Column], tuple[float, float] | None, tuple[float, float]]] = {
     "symbols": (per("n_symbols", "n_words"), None, (0, 0.1)),
-    "lines": (per("n_dup_lines", "n_lines"), None, (0, 0.3)),
+    "lines": (per("n_dup_lines", "n_lines"), None, (0, 0.6)),
     "repeats": (per("n_repeat_words", "n_words"), None, (0, 0.3)),
     "capitals": (per("n_capitals", "word_chars"), None, (0, 0.4)),
     "shouting": (per("n_shouts", "n_words"), None, (0, 0.15)),
@@ -134,7 +136,8 @@ def refit(patterns: Column, model: Column, n_rules: int) -> Column:
 
             def chance(cell: Column) -> Column:
                 j, v = (F.floor(cell / 3) + 1).cast("int"), F.pmod(cell, F.lit(3))
-                return F.log(of(F.filter(weighed, lambda p: F.element_at(p["pattern"], j) == v)) / (of(weighed) + 2 * SMOOTH))
+                found = of(F.filter(weighed, lambda p: F.element_at(p["pattern"], j) == v)) / (of(weighed) + 2 * SMOOTH)
+                return F.log(F.when((k == 0) & (v == BAD), F.least(found, F.lit(MOST_FALSE))).otherwise(found))
 
             everything = added(F.transform(weighed, lambda p: p["n"].cast("double"))) + (n_rules + 1) * SMOOTH
             return F.struct(F.log(of(weighed) / everything).alias("prior"),
