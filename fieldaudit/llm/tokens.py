@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,31 +52,61 @@ LEVEL = 3
 MANIFEST = "part int, seq int, path string, docs long, tokens long, dictionary string"
 
 
+#: Words of letters that have one code point in normal form, with a tail of marks: their letters are one piece for the model.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$#&*()\"-]*)").fullmatch
+#: The printable characters that byte-level models use for the 256 bytes: a byte's own where that is printable, else the next free.
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_own)))}
+
+
 class Encoder:
     """Ids of whole texts. With ``by_word``, words between ASCII white space are encoded once and looked up afterwards.
 
-    That equals encoding whole texts only for a tokenizer that drops white space and never joins characters across it.
+    That equals encoding whole texts only for a tokenizer that drops white space and never joins characters across it. Where the
+    tokenizer lower-cases and cuts between letters and marks, plain words skip its normaliser and go straight to its model; that
+    is tried on a few words first.
     """
 
     def __init__(self, path: str, end_id: int, by_word: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end = array("I", [end_id]).tobytes()
         self.by_word = by_word
         self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        probe = ["Hello", "wörld,", "ÀÉß!!", "a", "Zebra-", "ÿ(", "don\"", "xylophon&&&"]
+        self.direct = by_word and [self._plain(PLAIN(w)) for w in probe] == self._encode(probe)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, word: re.Match) -> bytes:
+        letters, tail = word[1].lower(), word[2]
+        if letters not in self.parts:
+            pieces = self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_CHARS))
+            self.parts[letters] = array("I", [t.id for t in pieces]).tobytes()
+        if tail and tail not in self.parts:
+            self.parts[tail] = self._encode([tail])[0]
+        return self.parts[letters] + (self.parts[tail] if tail else b"")
+
+    def _learn(self, words: list[bytes]) -> None:
+        others = []
+        for w in words:
+            text = w.decode()
+            if self.direct and (plain := PLAIN(text)):
+                self.words[w] = self._plain(plain)
+            else:
+                others.append((w, text))
+        self.words.update(zip((w for w, _ in others), self._encode([t for _, t in others])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 4-byte ids of each text, with the end id."""
         if not self.by_word:
             return [ids + self.end for ids in self._encode(texts)]
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.words, self.parts = {}, {}
         split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
-        self.words.update(zip(new, self._encode([w.decode() for w in new])))
+        self._learn(list({w for words in split for w in words if w not in self.words}))
         return [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
 
 
