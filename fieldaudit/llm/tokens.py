@@ -27,6 +27,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,18 @@ _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in _own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_own)))}
 
 
+class Known(dict):
+    """Values of a function, worked out at the first look."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key: bytes) -> bytes:
+        self[key] = value = self.function(key)
+        return value
+
+
 class Encoder:
     """Ids of whole texts. With ``by_word``, words between ASCII white space are encoded once and looked up afterwards.
 
@@ -72,9 +85,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
         self.by_word = by_word
-        self.words: dict[bytes, bytes] = {}
+        self.words = Known(self._word)
         self.parts: dict[str, bytes] = {}
         probe = ["Hello", "wörld,", "ÀÉß!!", "a", "Zebra-", "ÿ(", "don\"", "xylophon&&&"]
+        self.direct = False
         self.direct = by_word and [self._plain(PLAIN(w)) for w in probe] == self._encode(probe)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -89,25 +103,31 @@ class Encoder:
             self.parts[tail] = self._encode([tail])[0]
         return self.parts[letters] + (self.parts[tail] if tail else b"")
 
-    def _learn(self, words: list[bytes]) -> None:
-        others = []
-        for w in words:
-            text = w.decode()
-            if self.direct and (plain := PLAIN(text)):
-                self.words[w] = self._plain(plain)
-            else:
-                others.append((w, text))
-        self.words.update(zip((w for w, _ in others), self._encode([t for _, t in others])))
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = self.direct and PLAIN(text)
+        return self._plain(plain) if plain else self._encode([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 4-byte ids of each text, with the end id."""
         if not self.by_word:
             return [ids + self.end for ids in self._encode(texts)]
         if len(self.words) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
-        split = [t.encode().split() for t in texts]
-        self._learn(list({w for words in split for w in words if w not in self.words}))
-        return [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
+            self.words.clear()
+        if len(self.parts) > 2 * CACHE_WORDS:
+            self.parts.clear()
+        return [b"".join(map(self.words.__getitem__, self._bytes(t).split())) + self.end for t in texts]
+
+    def _bytes(self, text: str) -> bytes:
+        """The text's bytes; where the tokenizer lower-cases anyway, A-Z first, so that fewer words are new."""
+        raw = text.encode()
+        return raw.lower() if self.direct and b"<|" not in raw else raw
+
+
+@lru_cache(1)
+def worker_encoder(path: str, end_id: int, by_word: bool) -> Encoder:
+    """The encoder of a worker process, which keeps its words from one task to the next."""
+    return Encoder(path, end_id, by_word)
 
 
 def pieces(values: Iterable[tuple], limit: int = 1_000_000) -> Iterator[list[tuple]]:
@@ -225,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_w
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-    encoder_of = lambda: Encoder(tokenizer, end_id, by_word)
+    encoder_of = lambda: worker_encoder(tokenizer, end_id, by_word)
     dictionary = sample_dictionary(docs, encoder_of, width)
     name = hashlib.sha256(dictionary).hexdigest()
     system, root = fs.FileSystem.from_uri(folder)
