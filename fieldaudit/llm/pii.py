@@ -185,17 +185,17 @@ def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def reliabilities(votes: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each row, accuracy of each labeler) for votes of 1, 0 and -1 (abstains), weighted by ``n``.
 
-    Accuracies carry pseudo-counts around 0.8 and stay above one half: labelers are better than chance.
+    Accuracies carry pseudo-counts around 0.8 and stay above one half: labelers are better than chance. Both outcomes are
+    equally likely beforehand: a prior learned along could outvote the labelers of a kind with few of them.
     """
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.5
+    accuracy = np.full(votes.shape[1], 0.8)
     says = np.where(votes == 1, 1.0, np.where(votes == 0, -1.0, 0.0))
     for _ in range(steps):
-        odds = np.log(prior / (1 - prior)) + says @ np.log(accuracy / (1 - accuracy))
+        odds = says @ np.log(accuracy / (1 - accuracy))
         good = 1 / (1 + np.exp(-odds))
         right = n @ (np.where(votes == 1, good[:, None], 0) + np.where(votes == 0, 1 - good[:, None], 0))
         total = n @ (votes >= 0)
         accuracy = np.clip((right + 8) / (total + 10), 0.55, 0.99)
-        prior = float(np.clip((n @ good + 5) / (n.sum() + 10), 0.05, 0.95))
     return good, accuracy
 
 
