@@ -1,8 +1,8 @@
 """Exact global positions without one task seeing everything (WIN8, WIN9, WIN13, WIN14 build on these).
 
-Rows are ordered by a hash of their id. The first three hex digits of that hash cut the order into 4096
-ranges, so a position is the count of all earlier ranges plus the row number inside the range. A stratum that
-holds a third of all rows is spread over 4096 windows; only the table of range counts is ordered as a whole.
+Rows are ordered by a hash of their id. Its first three hex digits cut the order into 4096 ranges, the next three cut each of
+these again, so a position is the count of all earlier ranges, of the earlier parts of its range, and the row number inside
+its part: one row in 2^24. Only the table of the 4096 range counts is ordered as a whole.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ def with_position(df: DataFrame, id_col: str, strata=(), within=(), tag: str = "
     """
     strata, within = list(strata), list(within)
     df = df.withColumn("_h", draw_hex(F.col(id_col), tag, seed=seed))
-    df = df.withColumn("_b", F.substring("_h", 1, 3))
-    keys = within + strata + ["_b"]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    df = df.withColumns({"_b": F.substring("_h", 1, 3), "_c": F.substring("_h", 4, 3)})
+    wide = within + strata + ["_b"]
+    cells = df.groupBy(*wide, "_c").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(*strata, "_b") if not within else Window.partitionBy(*within).orderBy(*strata, "_b")
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(*keys).orderBy("_h", id_col)
-    ranked = df.withColumn("_rn", F.row_number().over(inner))
-    joined = ranked.join(offsets, keys)
-    return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_h", "_b", "_off", "_rn")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = cells.groupBy(*wide).agg(F.sum("_n").alias("_n")).withColumn("_off", before(order)).drop("_n")
+    inner = cells.withColumn("_in", before(Window.partitionBy(*wide).orderBy("_c"))).drop("_n").join(outer, wide)
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*wide, "_c").orderBy("_h", id_col)))
+    joined = ranked.join(inner, [*wide, "_c"])
+    return joined.withColumn(out, (F.col("_off") + F.col("_in") + F.col("_rn") - 1).cast("long")).drop("_h", "_b", "_c", "_off", "_in", "_rn")
 
 
 def assign_splits(people: DataFrame, id_col: str, strata, seed: int = SEED) -> DataFrame:

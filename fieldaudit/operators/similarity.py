@@ -20,7 +20,6 @@ from fieldaudit.operators.ranking import running_totals, separability
 from fieldaudit.sources.store import cut
 
 SALT_ROWS = 2000  # rows of one band value that one task compares with the whole band
-ARRAY_LIMIT = 200_000  # distinct reference fingerprints (8 bytes and an id each) that every task may hold
 
 
 def signed(mask: int) -> int:
@@ -99,33 +98,29 @@ def disjoint_closest(pairs: DataFrame, limit: int = 12) -> DataFrame:
     return mutual.orderBy("distance", "id_a", "id_b").limit(limit)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, array_limit: int = ARRAY_LIMIT,
-            blocks: int = 4) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, blocks: int = 4) -> DataFrame:
     """JOI10. Distance and first id of the nearest reference fingerprint for every distinct query fingerprint.
 
-    A reference set of at most ``array_limit`` fingerprints is held by every task as one array. A larger
-    one is searched through bands in rounds: round s finds every neighbour that differs by at most s bits in some
-    block, which is certain up to distance blocks * (s + 1) - 1; only queries without such a neighbour go on.
+    References are indexed by their blocks of bits and searched in rounds: round s finds every neighbour that differs by at most
+    s bits in some block, which is certain up to distance blocks * (s + 1) - 1; only queries without such a neighbour go on.
+    A block value that many references share is split over tasks, and its probes are sent to every part.
     """
     q = queries.select(F.col(h).alias("h")).distinct()
     r = refs.groupBy(F.col(h).alias("rh")).agg(F.min(id_col).alias("rid"))
-    if r.limit(array_limit + 1).count() <= array_limit:
-        # One broadcast row, its size checked just above.
-        table = r.agg(F.collect_list(F.struct("rh", "rid")).alias("t")).withColumn("one", F.lit(1))
-        best = F.array_min(F.transform("t", lambda x: F.struct(
-            F.bit_count(F.col("h").bitwiseXOR(x["rh"])).alias("distance"), x["rid"].alias("nearest"))))
-        joined = q.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
-        return joined.select("h", best.alias("_b")).select("h", "_b.distance", "_b.nearest")
     width = 64 // blocks
     part = lambda c, i: F.shiftrightunsigned(c, width * i).bitwiseAND(F.lit((1 << width) - 1))
     index = r.select("rh", "rid", F.posexplode(F.array(*[part(F.col("rh"), i) for i in range(blocks)])).alias("k", "v"))
+    parts = index.groupBy("k", "v").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    index = cut(index.join(parts, ["k", "v"]).withColumn("salt", F.pmod(F.xxhash64("rh"), F.col("salts")).cast("int")).drop("salts"))
+    parts = cut(parts)
     found, todo, s = None, cut(q), 0
     while s <= width and not todo.isEmpty():
         flips = [0] + [sum(1 << i for i in c) for n in range(1, s + 1) for c in combinations(range(width), n)]
         masks = F.expr("array(" + ",".join(f"{m}L" for m in flips) + ")")
         probes = todo.select("h", F.posexplode(F.array(*[part(F.col("h"), i) for i in range(blocks)])).alias("k", "v0"))
         probes = probes.select("h", "k", F.explode(F.transform(masks, lambda m: F.col("v0").bitwiseXOR(m))).alias("v"))
-        hits = probes.join(index, ["k", "v"]).groupBy("h").agg(
+        probes = probes.join(parts, ["k", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        hits = probes.join(index, ["k", "v", "salt"]).groupBy("h").agg(
             F.min(F.struct(hamming(F.col("h"), F.col("rh")).alias("distance"), F.col("rid").alias("nearest"))).alias("_b"))
         sure = cut(hits.select("h", "_b.distance", "_b.nearest").where(F.col("distance") <= blocks * (s + 1) - 1))
         found = sure if found is None else found.unionByName(sure)

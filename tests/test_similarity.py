@@ -47,12 +47,13 @@ def test_radius_join_counts_every_pair(spark, monkeypatch, radius, blocks):
     assert len({(r["id_a"], r["id_b"]) for r in out}) == len(out)
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_nearest(spark, limit):
+@pytest.mark.parametrize("salt", [2000, 1])
+def test_nearest(spark, salt, monkeypatch):
+    monkeypatch.setattr(sim, "SALT_ROWS", salt)
     rows = planted(200)
     df = spark.createDataFrame(rows, "id int, h long, split string")
     refs, queries = df.where("split = 'train'"), df.where("split <> 'train'")
-    got = {r["h"]: (r["distance"], r["nearest"]) for r in sim.nearest(queries, refs, "h", "id", array_limit=limit).collect()}
+    got = {r["h"]: (r["distance"], r["nearest"]) for r in sim.nearest(queries, refs, "h", "id").collect()}
     train = [(i, h) for i, h, s in rows if s == "train"]
     want = {h: min((d(h, r), i) for i, r in train) for _, h, s in rows if s != "train"}
     assert got == want
