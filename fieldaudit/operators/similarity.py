@@ -101,8 +101,9 @@ def disjoint_closest(pairs: DataFrame, limit: int = 12) -> DataFrame:
 def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, blocks: int = 4) -> DataFrame:
     """JOI10. Distance and first id of the nearest reference fingerprint for every distinct query fingerprint.
 
-    References are indexed by their blocks of bits and searched in rounds: round s finds every neighbour that differs by at most
-    s bits in some block, which is certain up to distance blocks * (s + 1) - 1; only queries without such a neighbour go on.
+    References are indexed by their blocks of bits and searched in rounds: with s bits, every neighbour is found that differs by at
+    most s bits in some block, which is certain up to distance blocks * (s + 1) - 1; only queries without such a neighbour go on
+    to s + 2.
     A block value that many references share is split over tasks, and its probes are sent to every part.
     """
     q = queries.select(F.col(h).alias("h")).distinct()
@@ -113,8 +114,8 @@ def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, blocks: in
     parts = index.groupBy("k", "v").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     index = cut(index.join(parts, ["k", "v"]).withColumn("salt", F.pmod(F.xxhash64("rh"), F.col("salts")).cast("int")).drop("salts"))
     parts = cut(parts)
-    found, todo, s = None, cut(q), 0
-    while s <= width and not todo.isEmpty():
+    found, todo, s = None, cut(q), 1
+    while not todo.isEmpty() and s <= width + 1:
         flips = [0] + [sum(1 << i for i in c) for n in range(1, s + 1) for c in combinations(range(width), n)]
         masks = F.expr("array(" + ",".join(f"{m}L" for m in flips) + ")")
         probes = todo.select("h", F.posexplode(F.array(*[part(F.col("h"), i) for i in range(blocks)])).alias("k", "v0"))
@@ -125,7 +126,7 @@ def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, blocks: in
         sure = cut(hits.select("h", "_b.distance", "_b.nearest").where(F.col("distance") <= blocks * (s + 1) - 1))
         found = sure if found is None else found.unionByName(sure)
         todo = cut(todo.join(sure.select("h"), "h", "left_anti"))
-        s += 1
+        s += 2
     return found if found is not None else q.select("h", F.lit(None).cast("int").alias("distance"), F.lit(None).alias("nearest"))
 
 
