@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("characterise", "evaluate", "ranking", "inference", "similarity", "audits", "fitting")
+GROUPS = ("characterise", "evaluate", "ranking", "inference", "similarity", "audits", "fitting", "texts")
 
 QUERIES, ORACLES = {}, {}
 for _group in GROUPS:
