@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldaudit.llm.common import table
 from fieldaudit.llm.mixing import mix
@@ -8,7 +9,7 @@ from fieldaudit.llm.mixing import mix
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 5, 2, 1 and share 150 % of all words, at most twice their own."""
-    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies")
 
 
 QUERIES = {"op7_mixing": op7_mixing}
@@ -36,7 +37,7 @@ r as (select *, target - sum(whole * size) over (partition by source) left_over,
 t as (select *, sum(case when rank is null then 0 else size end) over (partition by source order by rank nulls last, doc_id, size
          rows between unbounded preceding and current row) upto from r),
 k as (select doc_id, size, source_size, target, whole + (rank is not null and upto - size / 2.0::double <= left_over)::bigint copies from t)
-select doc_id, size, source_size, target, copies * size taken, copies from k
+select doc_id, size, source_size, round(target, 6) target, copies * size taken, copies from k
 union all
-select d.doc_id, d.size, s.source_size, s.target, 0, 0 from d join s on d.source is not distinct from s.source where d.size = 0
+select d.doc_id, d.size, s.source_size, round(s.target, 6), 0, 0 from d join s on d.source is not distinct from s.source where d.size = 0
 """}
