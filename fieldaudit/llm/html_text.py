@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+)>|<[/!?A-Za-z][^>]*(?:>|\Z)", re.S)
+OPEN = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|[/!?])")
+#: What may come next in a tag: a quoted value, or its end.
+NEXT = re.compile(r"=\s*([\"'])|>")
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas select option datalist title head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split())
@@ -34,7 +36,7 @@ FURNITURE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|sidebar\w*|side|widget\w*|cookies?|consent|gdpr|notice|notices|"
     r"popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|"
     r"toolbar|masthead|topbar|pagination|pager|tags|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -63,6 +65,28 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def tag_end(page: str, at: int, failed: set[int]) -> tuple[int, int]:
+    """(end of the attributes from ``at`` on, end of the tag), past quoted values of any length.
+
+    A tag without an end, or with a quote that nothing closes, ends at its first ">" all the same. ``failed`` are the values of
+    such tags on this page: a tag that meets one of them fares alike, so the page is read in linear time.
+    """
+    k, seen = at, []
+    while m := NEXT.search(page, k):
+        if not m.group(1):
+            return m.span()
+        if m.start() in failed:
+            break
+        seen.append(m.start())
+        close = page.find(m.group(1), m.end())
+        if close < 0:
+            break
+        k = close + 1
+    failed.update(seen)
+    end = page.find(">", at)
+    return (len(page), len(page)) if end < 0 else (end, end + 1)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
@@ -88,17 +112,23 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 link_words += len(text.split())
 
-    at, end = 0, len(page)
+    at, end, failed = 0, len(page), set()
     while at < end:
-        m = TOKEN.search(page, at)
+        m = OPEN.search(page, at)
         if not m:
             say(page[at:])
             break
         say(page[at:m.start()])
-        at = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
+            close = "-->" if m.group() == "<!--" else ">"
+            at = page.find(close, m.end())
+            at = end if at < 0 else at + len(close)
             continue
+        stop, at = tag_end(page, m.end(), failed)
+        if stop == end:
+            break
+        attributes = page[m.end():stop]
         if m.group(1):
             if tag == "a":
                 in_link = 0
@@ -113,7 +143,7 @@ def blocks(page: str) -> list[Block]:
                         break  # a stray end tag does not leave the article
             continue
         if tag in RAW:
-            if not m.group(3).endswith("/"):
+            if not attributes.endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
             continue
@@ -126,11 +156,11 @@ def blocks(page: str) -> list[Block]:
             flush()
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", *HEADINGS) and stack[-1][0] == tag:
                 stack.pop()
-        if tag in VOID or m.group(3).endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in BLOCK or tag == "span":
             _, article, furniture, heading = stack[-1]
-            here = is_furniture(tag, m.group(3), article)
+            here = is_furniture(tag, attributes, article)
             if tag == "span" and not here:
                 stack.append((tag, article, furniture, heading))
             else:

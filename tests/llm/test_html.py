@@ -56,3 +56,18 @@ def test_given_pages(spark, tiny):
         body = re.search("<article>(.*?)</article>", r["row"]["html"], re.S).group(1)
         parts = (html.unescape(re.sub("</?b>|<br>", " ", x)).split() for x in re.split("</?(?:p|h1)>", body))
         assert r["text"] == "\n".join(" ".join(x) for x in parts if x)
+
+
+def test_attribute_values_of_any_length():
+    long = "{'a': 1 > 0, class='ad'}" * 1_000
+    page = f"""<article><p>one</p><div class=x data-props="{long}"><p>two</p><div>three</div></div><p>four</p></article>
+    <nav data-items='{long.replace("'", "")}'><div>menu</div></nav><p>after</p>"""
+    assert len(long) > 20_000
+    assert h.main_text(page, TREE) == "one\ntwo\nthree\nfour"
+    assert [b.text for b in h.blocks(page) if b.furniture] == ["menu"]
+
+
+def test_unclosed_values_take_linear_time():
+    for page in ("<article>" + "<p a='><p' " * 40_000 + "b=\"", "<article>" + "<p a=\">\" " * 40_000, "<article>" + "<p a=" * 40_000 + "\"x>y"):
+        h.main_text(page, TREE)
+    assert h.main_text("<article><p title=\"x>y</p><p>z</p></article>", TREE) == "y\nz"
