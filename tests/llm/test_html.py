@@ -71,3 +71,34 @@ def test_unclosed_values_take_linear_time():
     for page in ("<article>" + "<p a='><p' " * 40_000 + "b=\"", "<article>" + "<p a=\">\" " * 40_000, "<article>" + "<p a=" * 40_000 + "\"x>y"):
         h.main_text(page, TREE)
     assert h.main_text("<article><p title=\"x>y</p><p>z</p></article>", TREE) == "y\nz"
+
+
+def test_wrappers_with_names_of_furniture():
+    rng = random.Random(4)
+    p = [sentence(rng, n) for n in (60, 35, 80)]
+    text = "".join(f"<p>{x}</p>" for x in p)
+    for wrapper in ("<div class='content has-sidebar'>", "<div class=elementor-widget-container>", "<section id='related'>", "<div class='legal'><div class='side'>"):
+        end = "</div></div>" if "legal" in wrapper else "</section>" if "section" in wrapper else "</div>"
+        page = f"<body><div><a href=/>Home</a></div>{wrapper}{text}<div class=comments><p>{sentence(rng, 40)}</p></div>{end}<div class=sidebar>{sentence(rng, 30)}</div></body>"
+        assert h.main_text(page, TREE) == "\n".join(p), wrapper
+    page = f"<div class='sidebar-left'><p>{sentence(rng, 90)}</p><article>{text}<div class=share>{sentence(rng, 25)}</div></article></div>"
+    assert all(x in h.main_text(page, TREE) for x in p) and h.main_text(page, TREE).count("\n") <= 3
+    assert h.main_text(f"<div hidden><article>{text}</article></div>", TREE) == ""
+
+
+def test_short_blocks_and_headings_without_article_element():
+    rng = random.Random(5)
+    long = [sentence(rng, 70) for _ in range(3)]
+    for n in range(1, 11):
+        short, head = sentence(rng, n), sentence(rng, n)
+        page = f"<div><a href=/>Home</a></div><h2>{head}</h2><p>{long[0]}</p><p>{short}</p><p>{long[1]}</p><h2>{head}</h2><p>{long[2]}</p>"
+        want = [head, long[0], short, long[1], head, long[2]]
+        assert h.main_text(page, TREE) == "\n".join(want), n
+        assert h.main_text(f"<div><a href=/>Home</a></div><div>{short}</div><div><a href=/>News</a></div>", TREE) == "", n
+
+
+def test_only_links_with_a_target_count():
+    rng = random.Random(6)
+    p = [sentence(rng, 50) for _ in range(2)]
+    assert h.main_text(f"<p><a name=top>{p[0]}</p><p>{p[1]}</p>", TREE) == "\n".join(p)
+    assert [b.link_words for b in h.blocks(f"<p><a href=x>one two<p>{p[0]}")] == [2, 0]
