@@ -17,8 +17,9 @@
 Sets are computed a second time, for the nodes in shared buckets only, so that no set of a lone text is ever stored.
 
 Defined cases: a null or wordless text has the empty set, is linked with nothing and kept; a text of fewer than five words has
-its whole sequence as its one shingle; rows that repeat a doc_id share the fate of that id's smallest component; an empty table
-gives no rows; other columns pass through.
+its whole sequence as its one shingle; a null doc_id is linked like any other, comes after all ids, and a component of such rows
+only has a null name; of each component one row stays, rows that repeat an id or have none included; an empty table gives no
+rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -254,18 +255,30 @@ def lookup(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id) for every row; the component is named by the least key it holds."""
-    rows = keep(docs.select(F.col(key).alias("key"), F.pandas_udf(sketch, SKETCH)(F.col(text)).alias("s")).select("key", "s.*"), "sketches")
+def mark_of(text: str) -> Column:
+    """A digest of the text itself, to find a row again that has no id of its own."""
+    return F.unhex(F.md5(F.col(text)))
+
+
+def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(key, mark, n_shingles, component_id, stays) for every row; one row of each component stays: the least key's, nulls last."""
+    rows = docs.select(F.col(key).alias("key"), mark_of(text).alias("mark"), F.pandas_udf(sketch, SKETCH)(F.col(text)).alias("s"))
+    rows = keep(rows.select(F.monotonically_increasing_id().alias("row"), "key", "mark", "s.*"), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min("key").alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+        F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "row", "mark")).alias("first"), F.any_value("n_shingles").alias("n_shingles"),
+        F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
     nodes = keep(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = banded.join(shared, "bucket").join(nodes.select("node", "first", "n_shingles", "bits"), "node")
-    members = keep(members.select("bucket", "node", "first", "n_shingles", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SLOTS // 64))), "members")
-    wanted = keep(members.select(F.col("first").alias("key")).where("key is not null").distinct(), "wanted")
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(lookup(wanted), "key", "left_semi").select("text")
+    members = banded.join(shared, "bucket").join(nodes.select("node", "n_shingles", "bits"), "node")
+    members = keep(members.select("bucket", "node", "n_shingles", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SLOTS // 64))), "members")
+    wanted = keep(nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.key", "first.mark"), "wanted")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    some = texts.join(lookup(wanted.where("key is not null").select("key").distinct()), "key", "left_semi").select("text")
+    # Without an id, a text is found by its digest, once however many copies it has.
+    no_key = texts.where("key is null").select("text", mark_of("text").alias("mark"))
+    no_key = no_key.join(lookup(wanted.where("key is null").select("mark").distinct()), "mark", "left_semi").dropDuplicates(["mark"])
+    some = some.unionByName(no_key.select("text"))
     sets = keep(some.mapInArrow(node_sets, "node binary, items array<long>").dropDuplicates(["node"]), "sets")
     own = own_counts(sets)
     common = (F.col("n_shingles") - F.coalesce("n_own", F.lit(0).cast("long"))).alias("n_common")
@@ -280,17 +293,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     roots = nodes.select("node", "first")
     if found is not None:
         roots = with_component(roots, found)
-        names = roots.groupBy("part").agg(F.min("first").alias("component_id"))
-        roots = roots.join(names, "part").select("node", "component_id")
+        names = roots.groupBy("part").agg(F.min("first").alias("least"))
+        roots = roots.join(names, "part").select("node", "least")
     else:
-        roots = roots.withColumnRenamed("first", "component_id")
-    linked = rows.where("n_shingles > 0").join(roots, "node").select("key", "n_shingles", "component_id")
-    return linked.unionByName(rows.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id")))
+        roots = roots.withColumnRenamed("first", "least")
+    linked = rows.where("n_shingles > 0").join(roots, "node")
+    linked = linked.select("key", "mark", "n_shingles", F.col("least.key").alias("component_id"), (F.col("row") == F.col("least.row")).alias("stays"))
+    alone = rows.where("n_shingles = 0")
+    return linked.unionByName(alone.select("key", "mark", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """(key, n_shingles, component_id, stays) for every row; the component is named by the least key it holds."""
+    return grouped(docs, key, text, percent).drop("mark")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The documents whose key names their component."""
-    found = keep(near_duplicates(docs, key, text, percent), "near-duplicates")
-    gone = keep(found.where("key != component_id").select(F.col("key").alias("gone_key")).distinct(), "gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("row_key"))
-    return rows.join(lookup(gone), F.col("row_key") == F.col("gone_key"), "left_anti").select("row.*")
+    """One row of each component: that of the least key, nulls last."""
+    found = grouped(docs, key, text, percent).where("n_shingles > 0")
+    found = keep(found.groupBy("key", "mark").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "near-duplicates")
+    names = [F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark")]
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("row_key"), mark_of(text).alias("row_mark"))
+    same = F.col("row_key").eqNullSafe(F.col("gone_key")) & (F.col("row_mark") == F.col("gone_mark"))
+    # Neither rows that go nor rows that repeat both id and text; then one of each of the latter.
+    out = rows.join(lookup(found.where("not stays or n > 1").select(*names)), same, "left_anti").select("row")
+    again = rows.join(lookup(found.where("stays and n > 1").select(*names)), same, "left_semi")
+    again = again.groupBy("row_key", "row_mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return out.unionByName(again).select("row.*")

@@ -11,7 +11,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document, at 85 % shared 5-word shingles."""
     df = near_duplicates(table(spark, sf_dir, "documents"))
     return df.select(F.col("key").alias("doc_id"), "n_shingles", "component_id",
-                     F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+                     F.when(F.col("key").isNull(), F.col("stays")).otherwise(F.col("key") == F.col("component_id")).alias("kept"))
 
 
 QUERIES = {"op4_near_duplicates": op4_near_duplicates}

@@ -154,3 +154,30 @@ def test_components(spark):
     assert got == {n: m for n, m in parent.items() if n != m}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert components(spark.createDataFrame([(1, 1)], "u long, v long").select(F.col("u"), F.col("v"))).count() == 0
+
+
+def test_rows_without_id_and_repeated_rows(docs_of):
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 100, 3_000) for _ in range(4))
+    near = copy_of(rng, c, 1)
+    bridge = d.split()
+    left, right = " ".join([*("l" * k for k in range(1, 8)), *bridge[7:]]), " ".join([*bridge[:-7], *("r" * k for k in range(1, 8))])
+    rows = [(5, a, "a"), (None, a, "a"), (None, copy_of(rng, a, 1), "a"), (None, copy_of(rng, a, 1), "a"),  # copies of a document with an id
+            (7, b, "a"), (7, b, "a"), (7, b, "b"), (8, b, "a"),  # repeated rows
+            (None, c, "a"), (None, c, "a"), (None, near, "a"), (None, near, "a"),  # no id at all
+            (20, left, "a"), (21, right, "a"), (None, d, "a"),  # linked over a text without an id
+            (30, "", "a"), (30, "", "a"), (None, None, "a"), (None, "", "a"), (None, None, "a")]
+    df = docs_of(rows, clash=True)
+    got = nd.near_duplicates(df).collect()
+    assert sorted((-1 if r.component_id is None else r.component_id) for r in got if r.n_shingles) == [-1] * 4 + [5] * 4 + [7] * 4 + [20] * 3
+    assert sum(r.stays for r in got if r.n_shingles) == 4
+    out = nd.one_of_each(df).collect()
+    full = [(r.doc_id, r.text) for r in out if r.text]
+    assert len(full) == 4 and {(5, a), (7, b), (20, left)} < set(full) and any(i is None and t in (c, near) for i, t in full)
+    assert sum(not r.text for r in out) == 5
+
+
+def test_another_text_of_a_repeated_id_stays(docs_of):
+    rng = random.Random(13)
+    a, b = sentence(rng, 50), sentence(rng, 50)
+    assert sorted((r.doc_id, r.text) for r in nd.one_of_each(docs_of([(0, a, "a"), (1, a, "a"), (1, b, "a")])).collect()) == [(0, a), (1, b)]
