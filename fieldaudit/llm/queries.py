@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 GROUPS = ("q_quality", "q_sharding", "q_decontaminate", "q_html", "q_lm", "q_mixing", "q_neardup", "q_pii", "q_substring", "q_tokens",
-          "q_merkle")
+          "q_merkle", "q_lines", "q_crosstoken")
 
 QUERIES, ORACLES = {}, {}
 for _group in GROUPS:
