@@ -1,12 +1,11 @@
-"""Fitted models: STA10, STA11, STA13-STA15, AGG36. Fits return small parameter sets; scoring is column arithmetic."""
+"""Fitted models: STA10, STA11, STA13, STA14. Fits return small parameter sets; scoring is column arithmetic."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +77,3 @@ def frozen_score(df: DataFrame, params: DataFrame, features) -> DataFrame:
 def score_with(df: DataFrame, fitted: dict, out: str = "fused") -> DataFrame:
     """STA14. Score from a fitted parameter set."""
     return df.withColumn(out, linear_score(fitted["intercept"], [(w, F.col(f)) for w, f in zip(fitted["coef"], fitted["features"])]))
-
-
-def tree_probe(train: DataFrame, test: DataFrame, features: str, label: str, trees: int = 20, depth: int = 5,
-               seed: int = 0) -> DataFrame:
-    """STA15. Gradient-boosted trees on an array column; returns test rows with the class-1 probability."""
-    vec = lambda d: d.withColumn("_x", array_to_vector(features)).withColumn("_y", F.col(label).cast("double"))
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(vec(train))
-    return model.transform(vec(test)).withColumn("prob", vector_to_array("probability")[1]).drop(
-        "_x", "_y", "rawPrediction", "probability", "prediction")
