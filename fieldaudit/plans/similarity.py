@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldaudit.functions.bits import fingerprint
+from fieldaudit.functions.bits import fingerprint, fingerprint_words
+from fieldaudit.operators import multiindex as wide
 from fieldaudit.operators import similarity as op
 from fieldaudit.operators.positions import SPLIT_CYCLE
 from fieldaudit.plans import sql
@@ -30,6 +31,30 @@ def text_hashes(spark, d):
     return stored(spark, "text_hashes", d, build)
 
 
+def text_hashes256(spark, d):
+    """Fingerprints of 256 bits: the counts of the same characters in each quarter of a text. Written once."""
+    def build(session):
+        docs = spread(table(session, d, "documents").select("doc_id", "text"), "doc_id")
+        quarter = F.ceil(F.length("text") / 4).cast("int")
+        docs = docs.select("doc_id", *[F.substr("text", quarter * k + 1, quarter).alias(f"t{k}") for k in range(4)])
+        counts = F.array(*[F.length(t) - F.length(F.replace(F.col(t), F.lit(c))) for t in ("t0", "t1", "t2", "t3") for c in FEATURES])
+        return docs.select("doc_id", counts.alias("v")).select("doc_id", F.when(F.get("v", F.lit(0)).isNotNull(), fingerprint_words(F.col("v"), 4)).alias("h"))
+
+    groups = text_hashes(spark, d).select("doc_id", "document_id", "person_id", "split")
+    return groups.join(stored(spark, "text_hashes256", d, build), "doc_id")
+
+
+def embedding_values256(v):
+    """256 values of a vector: its own, and its differences to those one, two and three places on (in a ring)."""
+    n = F.size(v)
+    at = lambda i: F.get(v, i.cast("int")).cast("double")
+    ring = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i) - at(F.pmod(i + s, n)))
+    return F.concat(F.transform(v, lambda x: x.cast("double")), ring(1), ring(2), ring(3))
+
+
+RADIUS256 = 16  # a sixteenth of the bits, as 4 is of 64
+
+
 def bits_text(c):
     return F.lpad(F.bin(c), 64, "0")
 
@@ -47,9 +72,20 @@ def extremes(spark, d):
     return r6(df.select("vec_id", F.posexplode("f").alias("place", "value")), "value")
 
 
+def nearest256(spark, d):
+    """Every validation and test document with its nearest train fingerprint, where one lies within the radius."""
+    df = text_hashes256(spark, d)
+    best = wide.nearest_words(df.where("split <> 'train'"), df.where("split = 'train'"), "h", "doc_id", 4, RADIUS256)
+    return df.where("split <> 'train'").join(best, "h", "left").select("doc_id", "split", "distance", "nearest")
+
+
 QUERIES = {
     "fingerprint64": lambda s, d: vectors(s, d).select("vec_id", bits_text(fingerprint(F.col("embedding"))).alias("hash")),
     "text_fingerprint": lambda s, d: text_hashes(s, d).select("doc_id", "split", bits_text(F.col("h")).alias("hash")),
+    "fingerprint256": lambda s, d: vectors(s, d).select("vec_id", F.array_join(F.transform(
+        fingerprint_words(embedding_values256(F.col("embedding")), 4), bits_text), "").alias("hash")),
+    "radius_pairs256": lambda s, d: wide.radius_pairs_words(text_hashes256(s, d), "h", "doc_id", 4, RADIUS256),
+    "nearest256": lambda s, d: nearest256(s, d),
     "hamming_radius_join": lambda s, d: op.radius_pairs(text_hashes(s, d), "h", "doc_id"),
     "closest_pairs_top20": lambda s, d: op.closest_pairs(op.radius_pairs(text_hashes(s, d), "h", "doc_id")),
     "disjoint_closest_pairs": lambda s, d: op.disjoint_closest(
@@ -90,6 +126,23 @@ _pairs = f"""{_h}, dh as (select h, min(doc_id) as id, count(*) as n, count(*) f
  pairs as (select * from pr where n_pairs > 0)"""
 
 
+_counts256 = "[" + ", ".join(f"length({t}) - length(replace({t}, '" + c.replace("'", _quote) + "', ''))" for t in ("t0", "t1", "t2", "t3") for c in FEATURES) + "]"
+_quarters = ", ".join(f"substr(text, {k} * ceil(length(text) / 4)::bigint + 1, ceil(length(text) / 4)::bigint) as t{k}" for k in range(4))
+
+
+def hash256_sql(values):
+    return (f"array_to_string(list_transform({values}, lambda e: case when e::double > "
+            f"list_sort({values}[2:])[128]::double then '1' else '0' end), '')")
+
+
+_h256 = f"""t4 as (select doc_id, {_quarters} from documents), wv as (select doc_id, {_counts256} as v from t4),
+ ws as materialized (select doc_id, {sql.texts(SPLIT_CYCLE)}[((doc_id // 6) % 20 + 1)::int] as split, ({hash256_sql('v')})::bit as h from wv),
+ dh as (select h, min(doc_id) as id, count(*) as n, count(*) filter (where split = 'train') as tr,
+   count(*) filter (where split = 'val') as va, count(*) filter (where split = 'test') as te from ws group by 1)"""
+_embedded = ("list_concat(list_transform(embedding, lambda x: x::double), " + ", ".join(
+    f"list_transform(range(0, 64), lambda i: embedding[i + 1]::double - embedding[(i + {s}) % 64 + 1]::double)" for s in (1, 2, 3)) + ")")
+
+
 def _pos(tag, within=""):
     return f"row_number() over ({within} order by md5(concat_ws('|', '42', doc_id::varchar, '{tag}')), doc_id) - 1"
 
@@ -115,6 +168,14 @@ ORACLES = {
     "fingerprint64": f"select vec_id, {hash_sql('embedding')} as hash from embeddings",
     "text_fingerprint": f"with {_h} select doc_id, split, hash from hs",
     "hamming_radius_join": f"with {_pairs} select * from pairs",
+    "fingerprint256": f"with e as (select vec_id, {_embedded} as v from embeddings) select vec_id, {hash256_sql('v')} as hash from e",
+    "radius_pairs256": f"""with {_h256}, pr as (select least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b, {_dist.format(a='a.h', b='b.h')} as distance,
+       case when a.h = b.h then (a.n * a.n - a.tr * a.tr - a.va * a.va - a.te * a.te) // 2
+            else a.n * b.n - a.tr * b.tr - a.va * b.va - a.te * b.te end as n_pairs
+       from dh a join dh b on a.h <= b.h where {_dist.format(a='a.h', b='b.h')} <= {RADIUS256}) select * from pr where n_pairs > 0""",
+    "nearest256": f"""with {_h256}, n as (select q.h, min(struct_pack(d := {_dist.format(a='q.h', b='r.h')}, id := r.doc_id)) as m
+       from (select distinct h from ws where split <> 'train') q join ws r on r.split = 'train' where {_dist.format(a='q.h', b='r.h')} <= {RADIUS256} group by 1)
+      select doc_id, split, m.d as distance, m.id as nearest from ws left join n on ws.h = n.h where split <> 'train'""",
     "closest_pairs_top20": f"with {_pairs} select * from pairs order by distance, id_a, id_b limit 20",
     "disjoint_closest_pairs": f"""with {_pairs}, e as (select id_a as e, distance, id_a, id_b from pairs where id_a <> id_b union all select id_b, distance, id_a, id_b from pairs where id_a <> id_b),
       b as (select *, row_number() over (partition by e order by distance, id_a, id_b) as rn from e)
