@@ -4,10 +4,8 @@ Both tokenizers read a space and the text. A dictionary of each takes the byte o
 indices; the offsets that both dictionaries hold, sorted, slice the two id lists into groups, and every slice is expanded into its
 links: the pairs of an A and a B token that end at the slice's end.
 
-Between two characters that are not white space, a single space always starts a token in both tokenizers, so texts are aligned
-piece by piece, and the alignments of short pieces are remembered, up to ``CACHE_BYTES`` a worker. That holds for byte-level
-models that cut before a space and for piece models in which the space mark only starts pieces; it is checked in the vocabulary,
-and a model without that property gets the whole text as one piece.
+A byte-level file whose merges stand in the order of their ids is read by tiktoken's encoder, which takes ids as ranks and gives
+the same ids several times faster; any other goes to the tokenizers library.
 
 How often a pair of ids is linked is counted over the whole corpus, with partial counts in the tasks. The ``MOST_PAIRS`` (at most)
 most frequent pairs go to the documents as a broadcast of bounded size; every other pair has fewer occurrences than any of those,
@@ -21,8 +19,8 @@ counted, equal rows too; an empty table gives no rows; other columns pass throug
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,23 +32,16 @@ from pyspark.sql import functions as F
 from fieldaudit.llm.common import keep
 from fieldaudit.llm.tokens import BYTE_CHARS
 
-CACHE_BYTES = 48 * 1024 * 1024
-CACHE_CHARS = 40
 MOST_PAIRS = 1 << 20
 #: Texts go through the tokenizers in lots of about so many characters.
-LOT = 1_000_000
+LOT = 500_000
 MARK = "▁"
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
-
-
-def starts_only(entries: list[bytes]) -> bool:
-    """Whether no entry has a space after another character, but for entries of white space alone."""
-    return all(b.rfind(b" ") < 1 or not b.decode(errors="replace").strip() for b in entries)
+#: Fixed value: how byte-level models cut a text into the parts that merges stay inside of.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteLevel:
-    """A byte-level model of the tokenizers library; strings of special tokens are ordinary text."""
+    """A byte-level model in a file of the tokenizers library; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,10 +55,30 @@ class ByteLevel:
         self.bytes = [b""] * self.size
         for entry, k in entries.items():
             self.bytes[k] = b"".join(byte_of.get(c, c.encode()) for c in entry)
-        self.cuts = self.tokenizer.normalizer is None and starts_only(self.bytes)
+        with open(path, encoding="utf-8") as f:
+            self.ranked = self._ranked(json.load(f))
+        # Every byte has a token and nothing rewrites the text: the tokens spell it whatever it is.
+        self.lossless = self.ranked is not None and {b for b in self.bytes if len(b) == 1} == {bytes([k]) for k in range(256)}
+
+    def _ranked(self, told: dict):
+        """tiktoken's encoder, where the file says no more than ids that rise with the merges."""
+        import tiktoken
+
+        model, before = told["model"], told.get("pre_tokenizer") or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        ids = [model["vocab"][a + b] for a, b in pairs]
+        first = 256 + len(ids) == len(model["vocab"]) and min(ids, default=256) == 256
+        if told.get("normalizer") or not (plain and cut and first and ids == sorted(set(ids))):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=CUT, mergeable_ranks={self.bytes[k]: k for k in model["vocab"].values()}, special_tokens={})
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.ranked:
+            return [np.array(self.ranked.encode_ordinary(" " + t)) for t in texts]
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -79,80 +90,70 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         entries = [self.model.id_to_piece(k) for k in range(self.size)]
-        self.bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE(p)) else p.replace(MARK, " ").encode() for p in entries]
-        self.cuts = starts_only(self.bytes)
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(entries)]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode(pieces, num_threads=1)
+        self.lossless = False
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
-def ends_of(lengths: list[int], ids: list[int]) -> list[int]:
-    out, end = [], 0
-    for k in ids:
-        end += lengths[k]
-        out.append(end)
-    return out
 
+def slices(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups end: the indices after the last token of A and of B, for every end that both have, in order."""
+    index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return tuple(np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
 
-def links_of(lengths_a: list[int], lengths_b: list[int], a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """The groups as slices (a0, a1, b0, b1), and the linked pairs of ids."""
-    ends_a, ends_b = ends_of(lengths_a, a), ends_of(lengths_b, b)
-    index_a, index_b = {e: k for k, e in enumerate(ends_a)}, {e: k for k, e in enumerate(ends_b)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        i2, j2 = index_a[end] + 1, index_b[end] + 1
-        groups.append((i, i2, j, j2))
-        if (i2 - i < 2 or ends_a[i2 - 2] != end) and (j2 - j < 2 or ends_b[j2 - 2] != end):
-            links.append((a[i2 - 1], b[j2 - 1]))
-        else:
-            links += [(a[p], b[q]) for p in range(i, i2) if ends_a[p] == end for q in range(j, j2) if ends_b[q] == end]
+
+def links_of(ends_a: list[int], ends_b: list[int], last_a: np.ndarray, last_b: np.ndarray) -> list[tuple[int, int]]:
+    """The linked tokens: in every slice all pairs, by index, of those that end where it ends."""
+    out, i, j = [], 0, 0
+    for i2, j2 in zip(last_a.tolist(), last_b.tolist()):
+        end = ends_a[i2 - 1]
+        out += [(p, q) for p in range(i, i2) if ends_a[p] == end for q in range(j, j2) if ends_b[q] == end]
         i, j = i2, j2
-    return groups, links
+    return out
 
 
 class Aligner:
-    """Alignments of texts; those of short pieces are remembered."""
-
     def __init__(self, first, second):
         self.a, self.b = first, second
-        self.lengths_a, self.lengths_b = ([len(x) for x in m.bytes] for m in (first, second))
-        self.cuts = first.cuts and second.cuts
-        self.known: dict[str, tuple | None] = {}
-        self.held = 0
+        self.lengths = [np.array([len(x) for x in m.bytes]) for m in (first, second)]
+        # How a token is told: with a comma inside its group, with a bar or a semicolon at the end of its side.
+        self.told = [f"{k}{mark}" for size, marks in ((first.size, ",|"), (second.size, ",;")) for mark in marks for k in range(size)]
 
-    def piece(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups as text, pairs as numbers), or None where the tokens do not spell the text."""
+    def pair(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple | None:
+        """(tokens of A, of B, groups, groups as text, pairs as numbers), or None where the tokens do not spell the text."""
         want = b" " + text.encode()
-        if b"".join([self.a.bytes[k] for k in a]) != want or b"".join([self.b.bytes[k] for k in b]) != want:
+        if not all(m.lossless or b"".join(map(m.bytes.__getitem__, ids.tolist())) == want for m, ids in ((self.a, a), (self.b, b))):
             return None
-        groups, links = links_of(self.lengths_a, self.lengths_b, a, b)
-        a_text, b_text, size = [*map(str, a)], [*map(str, b)], self.b.size
-        told = ";".join([f"{','.join(a_text[i:i2])}|{','.join(b_text[j:j2])}" for i, i2, j, j2 in groups])
-        return len(a), len(b), len(groups), told, [x * size + y for x, y in links]
-
-    def learn(self, pieces: list[str]) -> dict[str, tuple | None]:
-        out = {p: self.piece(p, a, b) for p, a, b in zip(pieces, self.a.encode(pieces), self.b.encode(pieces))}
-        for p, value in out.items():
-            if len(p) <= CACHE_CHARS:
-                self.known[p] = value
-                self.held += 300 + 2 * len(p) + (len(value[3]) + 40 * len(value[4]) if value else 0)
-        return out
+        size_a, size_b = self.lengths[0][a], self.lengths[1][b]
+        ends_a, ends_b = size_a.cumsum().tolist(), size_b.cumsum().tolist()
+        last_a, last_b = slices(ends_a, ends_b)
+        if size_a.all() and size_b.all():
+            linked = a[last_a - 1] * self.b.size + b[last_b - 1]
+        else:
+            linked = np.array([a[p] * self.b.size + b[q] for p, q in links_of(ends_a, ends_b, last_a, last_b)], np.int64)
+        return len(a), len(b), len(last_a), self.text(a, b, last_a, last_b), linked
+
+    def text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        """Every token at its place: a token of A after the tokens of B in earlier groups, one of B after those of A up to its group."""
+        group_a, group_b = (np.zeros(len(x), np.int64) for x in (a, b))
+        group_a[last_a[:-1]] = group_b[last_b[:-1]] = 1
+        before_b, upto_a = np.r_[0, last_b[:-1]][group_a.cumsum()], last_a[group_b.cumsum()]
+        shift_a, shift_b = np.zeros(len(a), np.int64), np.full(len(b), 2 * self.a.size)
+        shift_a[last_a - 1] += self.a.size
+        shift_b[last_b - 1] += self.b.size
+        place = np.empty(len(a) + len(b), np.int64)
+        place[np.arange(len(a)) + before_b] = a + shift_a
+        place[np.arange(len(b)) + upto_a] = b + shift_b
+        return "".join(map(self.told.__getitem__, place.tolist()))[:-1]
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """Per text: tokens of A, of B, groups, groups as text, pairs; None without tokens."""
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        cut = [(BETWEEN.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        new = self.learn(list({p: None for pieces in cut for p in pieces if p not in self.known}))
-        out, known = [], self.known
-        for pieces in cut:
-            found = [known[p] if p in known else new[p] for p in pieces]
-            if not found or None in found:
-                out.append(None)
-                continue
-            a, b, groups, told, pairs = zip(*found)
-            out.append((sum(a), sum(b), sum(groups), ";".join(told), [x for p in pairs for x in p]))
-        return out
+        there = [t for t in texts if t]
+        found = iter(map(self.pair, there, self.a.encode(there), self.b.encode(there)))
+        return [next(found) if t else None for t in texts]
 
 
 @lru_cache(1)
@@ -192,7 +193,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Da
             for lot in (lot for k in range(0, len(batch), 256) for lot in lots(batch.slice(k, 256).to_pylist())):
                 for found in aligner.align(lot):
                     a, b, groups, told, pairs = found or (0, 0, 0, "", [])
-                    distinct, times = np.unique(np.array(pairs, np.int64), return_counts=True)
+                    distinct, times = np.unique(np.asarray(pairs, np.int64), return_counts=True)
                     rows.append((a, b, groups, len(pairs), told, distinct.astype("<i8").tobytes(), times.astype("<i4").tobytes()))
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)] if rows else
                                              [pa.array([], f.type) for f in types], fields=list(types))

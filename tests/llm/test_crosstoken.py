@@ -5,7 +5,6 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
-from conftest_llm import sentence
 from pyspark.sql import functions as F
 
 from fieldaudit.llm import crosstoken
@@ -26,7 +25,7 @@ def plain(rows, models):
     for i, text, *_ in rows:
         groups, a, b = [], [], []
         if text:
-            a, b = a_model.encode([text])[0], b_model.encode([text])[0]
+            a, b = a_model.encode([text])[0].tolist(), b_model.model.encode(text)
             if any(b"".join(m.bytes[k] for k in ids) != b" " + text.encode() for m, ids in zip(models, (a, b))):
                 a, b = [], []
         links, pos_a, pos_b, ga, gb, p, q = [], 0, 0, [], [], 0, 0
@@ -63,15 +62,20 @@ ODD = ["a  b\tc\nd", "  two spaces  first and last  ", "one\n two\n\n  three \n"
        "don't I'll 's 've  nbsp em　wide", "日本語のテキスト \U0001f600\U0001f468‍\U0001f469 ﬁ ｆｕｌｌ Å", "é é ñ", "12345 3.14 #!?...", "x" * 3000, "café au lait "]
 
 
-def test_pieces_equal_whole_texts(models):
+def test_ranked_encoder_equals_the_library(models):
     rng = random.Random(5)
-    assert models[0].cuts and models[1].cuts
-    texts = ODD + ["".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "'s", "é", ".", "7", " ", "\x1f", "word", "▁"]) for _ in range(rng.randrange(1, 40)))
+    assert models[0].ranked
+    texts = ODD + ["".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "'s", "é", ".", "7", " ", "\x1f", "word", "▁", "<|endoftext|>"]) for _ in range(rng.randrange(1, 40)))
                    for _ in range(1500)]
-    cut, whole = crosstoken.Aligner(*models), crosstoken.Aligner(*models)
-    whole.cuts = False
-    assert cut.align(texts) == whole.align(texts)
-    assert cut.align(texts[::-1]) == whole.align(texts)[::-1]
+    plain = crosstoken.ByteLevel(A)
+    plain.ranked = None
+    assert [x.tolist() for x in models[0].encode(texts)] == [x.tolist() for x in plain.encode(texts)]
+
+
+def test_lossless_tokens_spell_any_text(models):
+    assert models[0].lossless and not models[1].lossless
+    for text, ids in zip(ODD, models[0].encode(ODD)):
+        assert b"".join(models[0].bytes[k] for k in ids) == b" " + text.encode()
 
 
 def test_given_texts(spark, models, tiny):
@@ -93,16 +97,7 @@ def test_empty_table(docs_of, models):
 
 
 def test_tokens_without_bytes_share_an_end():
-    groups, links = crosstoken.links_of([1, 0, 2], [1, 0, 2], [0, 1, 2], [0, 1, 1, 2])
-    assert groups == [(0, 2, 0, 3), (2, 3, 3, 4)]
-    assert links == [(0, 0), (0, 1), (0, 1), (1, 0), (1, 1), (1, 1), (2, 2)]
-
-
-def test_cache_is_bounded(models, monkeypatch):
-    monkeypatch.setattr(crosstoken, "CACHE_BYTES", 20_000)
-    aligner, rng = crosstoken.Aligner(*models), random.Random(2)
-    fresh = crosstoken.Aligner(*models)
-    for _ in range(10):
-        text = sentence(rng, 200, 100_000)
-        assert aligner.align([text]) == fresh.align([text])
-        assert aligner.held < 200_000
+    cuts = crosstoken.slices([1, 1, 3], [1, 1, 1, 3])
+    assert [c.tolist() for c in cuts] == [[2, 3], [3, 4]]
+    assert crosstoken.links_of([1, 1, 3], [1, 1, 1, 3], *cuts) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 3)]
+    assert crosstoken.links_of([2, 3], [1, 2, 3], *crosstoken.slices([2, 3], [1, 2, 3])) == [(0, 1), (1, 2)]
