@@ -48,20 +48,43 @@ def assign_splits(people: DataFrame, id_col: str, strata, seed: int = SEED) -> D
 
 
 def first_by_hash(df: DataFrame, id_col: str, quota: DataFrame, within, tag: str, seed: int = SEED) -> DataFrame:
-    """Rows whose position inside their group is below the group's quota (column ``quota``)."""
-    placed = with_position(df, id_col, within=within, tag=tag, seed=seed)
-    return placed.join(F.broadcast(quota), list(within)).where(F.col("position") < F.col("quota")).drop("quota")
+    """Rows that come first in their group by the hash of their id, as many as the group's quota (column ``quota``).
+
+    Bottom-k by a threshold: two histograms of the hash (4096 cells, then 4096 parts of the border cell) say which cells lie
+    wholly below the quota. Their rows are kept in the scan; only the rows of the border part, one in 2^24, are ranked.
+    ``quota`` has one row per group, as have the borders, so these are broadcast. Groups are matched like join keys: null in none.
+    """
+    within = list(within)
+    rows = df.join(F.broadcast(quota), within).withColumn("_h", draw_hex(F.col(id_col), tag, seed=seed))
+    rows = rows.withColumns({"_b": F.substring("_h", 1, 3), "_c": F.substring("_h", 4, 3)})
+
+    def border(cells: DataFrame, cell: str, room: str, out: str) -> DataFrame:
+        """Per group the cell in which the quota runs out, and the room left there; none where all rows fit."""
+        sums = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*within).orderBy(cell)))
+        first = sums.where(F.col("_upto") > F.col(room)).groupBy(*within).agg(F.min(F.struct(cell, (F.col(room) - F.col("_upto") + F.col("_n")).alias("_room"))).alias("_m"))
+        return first.select(*within, F.col(f"_m.{cell}").alias(f"{out}"), F.col("_m._room").alias(f"{out}_room"))
+
+    outer = border(rows.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("quota").alias("_q")), "_b", "_q", "_edge")
+    rows = rows.join(F.broadcast(outer), within, "left")
+    at_edge = rows.where(F.col("_b") == F.col("_edge"))
+    inner = border(at_edge.groupBy(*within, "_c").agg(F.count(F.lit(1)).alias("_n"), F.first("_edge_room").alias("_q")), "_c", "_q", "_part")
+    rows = rows.join(F.broadcast(inner), within, "left")
+    on_edge = F.col("_b") == F.col("_edge")
+    whole = F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")) | (on_edge & (F.col("_c") < F.col("_part")))
+    last = rows.where(on_edge & (F.col("_c") == F.col("_part"))).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*within).orderBy("_h", id_col))).where(F.col("_rn") <= F.col("_part_room")).drop("_rn")
+    return rows.where(whole).unionByName(last).select(*df.columns)
 
 
 def balanced_sample(df: DataFrame, id_col: str, label: str, cap: int | None = None, seed: int = SEED) -> DataFrame:
     """WIN13. The same number of rows per class: the smallest class size, or ``cap`` where the rows are for a fit of bounded size.
 
-    The quota table has one row per class, so it is broadcast.
+    The quota table has one row per class, so it is broadcast. ``position`` numbers the rows that are kept.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.least(F.min("n"), F.lit(cap).cast("long")).alias("quota"))
     quota = sizes.select(label, least.scalar().alias("quota"))
-    return first_by_hash(df, id_col, quota, [label], "balance", seed)
+    return with_position(first_by_hash(df, id_col, quota, [label], "balance", seed), id_col, within=[label], tag="balance", seed=seed)
 
 
 def epoch_sample(df: DataFrame, id_col: str, label: str, ratio: int, epochs: int, seed: int = SEED) -> DataFrame:
@@ -75,7 +98,7 @@ def epoch_sample(df: DataFrame, id_col: str, label: str, ratio: int, epochs: int
     negatives = df.where(F.col(label) == 0).select(epoch, "*")
     negatives = negatives.withColumn("_key", F.concat_ws(":", "epoch", id_col))
     quota = df.sparkSession.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch"), n.scalar().alias("quota"))
-    drawn = first_by_hash(negatives, "_key", quota, ["epoch"], "epoch", seed).drop("_key", "position")
+    drawn = first_by_hash(negatives, "_key", quota, ["epoch"], "epoch", seed).drop("_key")
     return positives.select(epoch, "*").unionByName(drawn)
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from fieldaudit.functions.bits import hamming, median
 from fieldaudit.functions.draws import SEED, draw
 from fieldaudit.functions.fields import SPLITS
-from fieldaudit.operators.positions import with_position
 from fieldaudit.operators.ranking import running_totals, separability
 from fieldaudit.sources.store import cut
 
@@ -154,38 +153,40 @@ def within_group_distances(df: DataFrame, group: str, h: str) -> DataFrame:
     return apart.unionByName(same).groupBy("distance").agg(F.sum("n").alias("n"))
 
 
+def paired_by_draw(members: DataFrame, keys, u: str, cols) -> DataFrame:
+    """One pair per group: the members with the least and the greatest draw, which are two distinct ones at random.
+
+    An aggregate of two rows per group, so large groups are reduced before they are shuffled. Groups of one member give no pair.
+    """
+    row = F.struct(u, *cols)
+    ends = members.groupBy(*keys).agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count(F.lit(1)).alias("_n"))
+    return ends.where(F.col("_n") > 1).select(*keys, "a", "b")
+
+
 def same_person_sample(df: DataFrame, id_col: str, h: str, tries: int = 4, seed: int = SEED) -> DataFrame:
-    """JOI12. Histogram of distances between two random members of a person, other documents only."""
-    placed = with_position(df, id_col, within=["person_id"], tag="member", seed=seed)
-    sizes = df.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    t = sizes.select("person_id", "n", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
-    t = t.withColumn("i", F.pmod(draw(F.col("person_id"), F.col("t"), "i", seed=seed), F.col("n")))
-    t = t.withColumn("j", F.pmod(F.col("i") + 1 + F.pmod(draw(F.col("person_id"), F.col("t"), "j", seed=seed),
-                                                         F.col("n") - 1), F.col("n")))
-    member = lambda pos, s: placed.select("person_id", F.col("position").alias(pos), F.col("document_id").alias(f"d{s}"),
-                                          F.col(h).alias(f"h{s}"))
-    pairs = t.join(member("i", 1), ["person_id", "i"]).join(member("j", 2), ["person_id", "j"])
-    pairs = pairs.where(F.col("d1") != F.col("d2"))
-    return pairs.groupBy(hamming(F.col("h1"), F.col("h2")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def cross_person_sample(df: DataFrame, id_col: str, h: str, draws: int = 200_000, keep: int = 80_000,
-                        seed: int = SEED) -> DataFrame:
+    """JOI12. Histogram of distances between two random members of a person, ``tries`` times, other documents only."""
+    t = df.select("person_id", "document_id", F.col(id_col), F.col(h).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    t = t.withColumn("u", draw(F.col(id_col), F.col("t"), "member", seed=seed))
+    pairs = paired_by_draw(t, ["person_id", "t"], "u", [id_col, "document_id", "h"]).where(F.col("a.document_id") != F.col("b.document_id"))
+    return pairs.groupBy(hamming(F.col("a.h"), F.col("b.h")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cross_person_sample(df: DataFrame, id_col: str, h: str, repeats: int = 16, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """JOI12. Histogram of distances between random rows of different persons in the same split.
 
-    Draws are row positions; the draw table has ``draws`` rows whatever the data size.
+    The scan chooses a ``share`` of the rows by a hash of their id. In each of ``repeats`` rounds a second hash deals a split's
+    chosen rows to half as many cells as there are rows, and a cell with two rows or more gives one pair. So some 0.3 pairs a
+    round come of every chosen row: the sample grows with the table, and no row needs a position.
     """
-    spark = df.sparkSession
-    placed = with_position(df, id_col, tag="row", seed=seed)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    t = spark.range(draws).select(
-        F.col("id").alias("t"), F.pmod(draw(F.col("id"), "left", seed=seed), total).alias("i"),
-        F.pmod(draw(F.col("id"), "right", seed=seed), total).alias("j"))
-    row = lambda pos, s: placed.select(F.col("position").alias(pos), F.col("person_id").alias(f"p{s}"),
-                                       F.col("split").alias(f"s{s}"), F.col(h).alias(f"h{s}"))
-    pairs = t.join(row("i", 1), "i").join(row("j", 2), "j")
-    pairs = pairs.where((F.col("p1") != F.col("p2")) & (F.col("s1") == F.col("s2"))).orderBy("t").limit(keep)
-    return pairs.groupBy(hamming(F.col("h1"), F.col("h2")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = df.where(F.col("split").isin(*SPLITS)).select("split", "person_id", F.col(id_col), F.col(h).alias("h"))
+    if share < 1:
+        chosen = chosen.where(draw(F.col(id_col), "share", seed=seed) < int(share * 2**60))
+    cells = chosen.groupBy("split").agg(F.greatest(F.expr("count(*) div 2"), F.lit(1).cast("long")).alias("cells"))
+    t = chosen.join(F.broadcast(cells), "split").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    t = t.withColumns({"cell": F.pmod(draw(F.col(id_col), F.col("t"), "cell", seed=seed), F.col("cells")),
+                       "u": draw(F.col(id_col), F.col("t"), "cross", seed=seed)})
+    pairs = paired_by_draw(t, ["split", "t", "cell"], "u", [id_col, "person_id", "h"]).where(F.col("a.person_id") != F.col("b.person_id"))
+    return pairs.groupBy(hamming(F.col("a.h"), F.col("b.h")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distance_summary(histogram: DataFrame, keys=()) -> DataFrame:

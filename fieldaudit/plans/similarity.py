@@ -143,25 +143,19 @@ _embedded = ("list_concat(list_transform(embedding, lambda x: x::double), " + ",
     f"list_transform(range(0, 64), lambda i: embedding[i + 1]::double - embedding[(i + {s}) % 64 + 1]::double)" for s in (1, 2, 3)) + ")")
 
 
-def _pos(tag, within=""):
-    return f"row_number() over ({within} order by md5(concat_ws('|', '42', doc_id::varchar, '{tag}')), doc_id) - 1"
-
-
 def _d2(k1, k2, tag):
     return f"('0x' || substr(md5(concat_ws('|', '42', {k1}::varchar, {k2}::varchar, '{tag}')), 1, 15))::bigint"
 
 
 _samples = f"""{_h},
  within_d as (select {_dist.format(a='a.h', b='b.h')} as distance from hs a join hs b on a.document_id = b.document_id and a.doc_id < b.doc_id),
- pm as (select *, {_pos('member', 'partition by person_id')} as pos, count(*) over (partition by person_id) as n from hs),
- tr as (select distinct person_id, n, t, {_d2('person_id', 't', 'i')} % n as i from pm, range(0, 4) r(t) where n > 1),
- tj as (select *, (i + 1 + {_d2('person_id', 't', 'j')} % (n - 1)) % n as j from tr),
- same_d as (select {_dist.format(a='a.h', b='b.h')} as distance from tj join pm a on a.person_id = tj.person_id and a.pos = i
-   join pm b on b.person_id = tj.person_id and b.pos = j where a.document_id <> b.document_id),
- pg as (select *, {_pos('row')} as pos, count(*) over () as total from hs),
- dr as (select t, {sql.draw('t', 'left')} % (select any_value(total) from pg) as i, {sql.draw('t', 'right')} % (select any_value(total) from pg) as j from range(0, 200000) r(t)),
- cross_d as materialized (select {_dist.format(a='a.h', b='b.h')} as distance from dr join pg a on a.pos = i join pg b on b.pos = j
-   where a.person_id <> b.person_id and a.split = b.split order by t limit 80000),
+ mt as (select *, {_d2('doc_id', 't', 'member')} as u from hs, range(0, 4) r(t)),
+ same_d as (select {_dist.format(a='a.h', b='b.h')} as distance from (select arg_min(struct_pack(document_id := document_id, h := h), u) as a,
+   arg_max(struct_pack(document_id := document_id, h := h), u) as b from mt group by person_id, t having count(*) > 1) where a.document_id <> b.document_id),
+ ce as (select split, greatest(count(*) // 2, 1) as cells from hs group by 1),
+ ct as (select hs.*, t, {_d2('doc_id', 't', 'cell')} % cells as cell, {_d2('doc_id', 't', 'cross')} as u from hs join ce using (split), range(0, 16) r(t)),
+ cross_d as materialized (select {_dist.format(a='a.h', b='b.h')} as distance from (select arg_min(struct_pack(person_id := person_id, h := h), u) as a,
+   arg_max(struct_pack(person_id := person_id, h := h), u) as b from ct group by split, t, cell having count(*) > 1) where a.person_id <> b.person_id),
  nn as materialized (select q.doc_id, q.split, min(struct_pack(d := {_dist.format(a='q.h', b='r.h')}, id := r.doc_id)) as m from hs q join hs r on r.split = 'train' and q.split <> 'train' group by 1, 2)"""
 
 ORACLES = {
