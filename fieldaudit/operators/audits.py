@@ -1,4 +1,4 @@
-"""Leakage and consistency audits: SET1-SET3, AUD1, AUD3-AUD8, AGG32."""
+"""Leakage and consistency audits: SET1-SET3, AUD1, AUD3-AUD5, AUD7, AUD8, AGG32."""
 
 from __future__ import annotations
 
@@ -54,8 +54,12 @@ def with_overall(checks: DataFrame, *measures: Column) -> DataFrame:
     return out.withColumn("check", F.when(F.col("_total") == 1, "all").otherwise(F.col("check"))).drop("_total")
 
 
-def leakage_audit(cases: DataFrame) -> DataFrame:
-    """AUD1. The five gating checks and the overall verdict."""
+def leakage_audit(cases: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """AUD1. The five gating checks and the overall verdict; with ``near`` also the row of near-duplicates across splits.
+
+    ``near`` has one row per pair of fingerprints (``n_pairs``: pairs of rows). Fingerprints of one layout saturate, so the row reports
+    and does not gate: its ``passed`` is null, and the total leaves its pairs out.
+    """
     shared = lambda d, v: split_intersections(d, v).agg(F.sum("shared").alias("v"))
     span = lambda d, k: spanning(d, k).select(F.col("spanning").alias("v"))
     ids = cases.where(F.col("own_id").isNotNull() & (F.col("own_id") != ""))
@@ -68,7 +72,24 @@ def leakage_audit(cases: DataFrame) -> DataFrame:
         check_row(shared(cases, "person_id"), "identity", "v"), check_row(shared(ids, "own_id"), "identifier", "v"),
         check_row(lacks, "template", "v"), check_row(span(cases, "document_id"), "augmentation", "v"),
         check_row(span(values, "printed"), "printed_values", "v")])
-    return with_overall(checks, F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed"))
+    out = with_overall(checks, F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed"))
+    if near is None:
+        return out
+    return out.unionByName(check_row(near.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("v")), "near_duplicates", "v", gating=False))
+
+
+def equal_fingerprints(rows: DataFrame, h: str, content: str) -> DataFrame:
+    """TOP3. Per fingerprint that several rows share: the rows, their contents, all pairs, and the pairs with the same content.
+
+    Pairs are counted from the sizes of the contents, never made. A row whose content is not there (null) pairs with none.
+    """
+    sizes = rows.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h"), F.col(content).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("c").isNotNull()
+    out = sizes.groupBy("h").agg(F.sum("n").alias("n_rows"), F.sum(there.cast("long")).alias("contents"),
+                                 F.sum(F.when(there, F.expr("n * (n - 1) div 2")).otherwise(0)).alias("same_pairs"),
+                                 F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("_m"))
+    return out.where("n_rows > 1").select("h", "n_rows", "contents", F.expr("n_rows * (n_rows - 1) div 2").alias("pairs"),
+                                          F.expr("_m * (_m - 1) div 2").alias("compared"), "same_pairs")
 
 
 def split_check(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -104,13 +125,32 @@ def fresh_check(fresh: DataFrame, known: DataFrame, persons: int, id_columns) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def score_run_check(scores: DataFrame, manifest: DataFrame, splits) -> DataFrame:
-    """AUD5, AUD7. A score table against its manifest: exact ids, agreeing columns, finite logits."""
+def score_rows_digest(scores: DataFrame, key: str = "image_id", score: str = "logit") -> DataFrame:
+    """One row with the digest of a score table: its ids, scores (as text) and stated columns. ``tree_digest`` of the rows."""
+    rest = [c for c in sorted(scores.columns) if c != key]
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in rest]), 256)
+    return tree_digest(scores.select(F.col(key), line.alias("sha")), key, "sha")
+
+
+def score_run_check(scores: DataFrame, manifest: DataFrame, splits, stored: DataFrame | None = None) -> DataFrame:
+    """AUD5, AUD7. A score table against its manifest and its stored digest, as counts per problem.
+
+    Exact ids of the splits, finite logits, agreement on split, document type, category and label where the table states them, and,
+    with ``stored`` (one row with ``digest``, of ``score_rows_digest``), the problem ``digest differs`` where the table is not the
+    one that was stored, or nothing was stored.
+    """
     pred = scores.withColumnRenamed("logit", "score")
-    wanted = manifest.where(F.col("split").isin(*splits))
+    wanted = manifest.where(F.col("split").isin(*splits)).withColumn("stated_split", F.col("split"))
+    pred = pred.withColumnRenamed("split", "stated_split") if "split" in pred.columns else pred
     both = lambda d: d.withColumn("split", F.lit("run"))
-    problems = coverage_problems(both(pred), both(wanted), "run", ("C0", "C1", "C2", "C3", "C4"), threshold=0.0)
-    return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    shared = ("label", "stated_split", "split", "forgery_category", "doc_type")
+    problems = coverage_problems(pred, both(wanted), "run", ("C0", "C1", "C2", "C3", "C4"), shared=shared, threshold=0.0)
+    out = problems.groupBy(F.regexp_replace("problem", "^stated_", "").alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+    if stored is None:
+        return out
+    pair = score_rows_digest(scores).select(F.lit(1).alias("side"), "digest").unionByName(stored.select(F.lit(2).alias("side"), "digest"))
+    same = pair.agg((F.coalesce(F.min("digest") == F.max("digest"), F.lit(False)) & (F.countDistinct("side") == 2)).alias("same"))
+    return out.unionByName(same.where("not same").select(F.lit("digest differs").alias("problem"), F.lit(1).cast("long").alias("n")))
 
 
 def index_check(a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:
@@ -121,11 +161,6 @@ def index_check(a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:
     return diff.unionByName(bad.select(F.lit("label off category").alias("problem"), "n").where("n > 0"))
 
 
-def rerun_check(checks: DataFrame) -> DataFrame:
-    """AUD6. Named checks (check, passed) with the overall verdict appended."""
-    return with_overall(checks, F.bool_and("passed").alias("passed"))
-
-
 def self_check(stored: DataFrame, again: DataFrame, key: str, score: str, rows: int = 40, tolerance: float = 0.01) -> DataFrame:
     """AUD8, TOP2. First rows by key, scored again: largest difference within the tolerance."""
     first = stored.orderBy(key).limit(rows).select(key, F.col(score).alias("a"))

@@ -1,4 +1,4 @@
-"""Joins that check tables against each other: JOI1-JOI4, JOI6, JOI13-JOI21, SET4, SET6."""
+"""Joins that check tables against each other: JOI1-JOI4, JOI6, JOI13-JOI15, JOI17-JOI21, SET4."""
 
 from __future__ import annotations
 
@@ -125,13 +125,6 @@ def digest_status(frozen: DataFrame, rebuilt: DataFrame, key: str = "file") -> D
     return j.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_agreement(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
-    """JOI16, STA16. Pearson correlation and largest difference of two runs on their shared rows."""
-    j = a.select(key, F.col(score).alias("x")).join(b.select(key, F.col(score).alias("y")), key)
-    return j.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"),
-                 F.max(F.abs(F.col("x") - F.col("y"))).alias("max_abs_diff"))
-
-
 def align_epochs(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     """JOI17. Epoch logs of two runs side by side; the longer run keeps its tail."""
     return a.select("epoch", F.col(metric).alias("first")).join(
@@ -152,13 +145,6 @@ def map_differences(a: Column, b: Column) -> Column:
     return F.filter(keys, lambda k: ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)))
 
 
-def settings_difference(a: DataFrame, b: DataFrame, ignored=()) -> DataFrame:
-    """SET6. Differing settings of two runs (column ``settings``: map), without the ignored names."""
-    side = lambda df, v: df.select(F.explode("settings").alias("name", v))
-    j = side(a, "first").join(side(b, "second"), "name", "full_outer")
-    return j.where(~F.col("name").isin(*ignored) & ~F.col("first").eqNullSafe(F.col("second")))
-
-
 def field_changes(control: DataFrame, modified: DataFrame, keys) -> DataFrame:
     """JOI21. Modified rows against their control: the fields that changed, and whether only the named one did."""
     c = control.select(*keys, F.col("printed_values").alias("before"))

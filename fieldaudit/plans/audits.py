@@ -10,7 +10,8 @@ from fieldaudit.functions.fields import document_rule, field_map
 from fieldaudit.functions.measures import logit
 from fieldaudit.operators import audits, reconcile, synth, tiles
 from fieldaudit.plans import sql
-from fieldaudit.plans.similarity import text_hashes
+from fieldaudit.operators.similarity import radius_pairs
+from fieldaudit.plans.similarity import _pairs, bits_text, text_hashes
 from fieldaudit.sources.tables import cases, spread, table
 
 CATS = ("C0", "C1", "C2", "C3", "C4")
@@ -61,22 +62,6 @@ def seed_spread(spark, d):
     return per.agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("sd"))
 
 
-def runs(spark, d):
-    """Score agreement of two seeds and their epochs, as a re-run check."""
-    s = seeds(spark, d)
-    a, b = (s.where(F.col("seed") == i) for i in (0, 1))
-    out = reconcile.run_agreement(a, b, "event_id", "logit")
-    return out.withColumns({"pearson": F.round("pearson", 6), "max_abs_diff": F.round("max_abs_diff", 6)})
-
-
-def rerun(spark, d):
-    agree = runs(spark, d)
-    checks = agree.select(F.explode(F.array(
-        F.struct(F.lit("correlated").alias("check"), (F.col("pearson") > 0.5).alias("passed")),
-        F.struct(F.lit("close").alias("check"), (F.col("max_abs_diff") <= 0.5).alias("passed")))).alias("c")).select("c.*")
-    return audits.rerun_check(checks)
-
-
 def self_check(spark, d):
     s = seeds(spark, d)
     out = audits.self_check(s.where("seed = 0"), s.where("seed = 1"), "event_id", "logit")
@@ -178,10 +163,28 @@ def index_audit(spark, d):
     return audits.index_check(a, c, "image_id", ["split", "doc_type", "rule_ocr_verdict", "label", "forgery_category"])
 
 
+def score_table(spark, d, planted):
+    """Scores with the columns they state; planted: some rows state another split, type or category, as after an edit of the file."""
+    c = cases(spark, d).select("image_id", "split", "doc_type", "forgery_category")
+    k = F.substring("image_id", 2, 20).try_cast("long")
+    rows = planted_predictions(spark, d).select("image_id", F.when(F.isnan("score"), F.col("score")).otherwise(logit(F.col("score"))).alias("logit"), "label")
+    rows = rows.join(c, "image_id", "left")
+    if not planted:
+        return rows
+    return rows.withColumns({"split": F.when(k % 103 == 0, "train").otherwise(F.col("split")),
+                             "doc_type": F.when(k % 107 == 0, F.lit(None)).otherwise(F.col("doc_type")),
+                             "forgery_category": F.when(k % 109 == 0, "C9").otherwise(F.col("forgery_category"))})
+
+
 def score_run(spark, d):
-    scores = planted_predictions(spark, d).select("image_id", F.when(F.isnan("score"), F.col("score")).otherwise(
-        logit(F.col("score"))).alias("logit"), "label")
-    return audits.score_run_check(scores, cases(spark, d), ("test", "val"))
+    stored = audits.score_rows_digest(score_table(spark, d, False))
+    return audits.score_run_check(score_table(spark, d, True), cases(spark, d), ("test", "val"), stored)
+
+
+def zero_distance(spark, d):
+    """Documents with equal fingerprints, and whether their texts are equal."""
+    df = text_hashes(spark, d).select("doc_id", "h").join(document_files(spark, d).select("doc_id", "sha"), "doc_id")
+    return audits.equal_fingerprints(df, "h", "sha").withColumn("h", bits_text(F.col("h")))
 
 
 QUERIES = {
@@ -193,8 +196,9 @@ QUERIES = {
     "key_gaps": lambda s, d: reconcile.key_gaps({
         "cases": cases(s, d).select("image_id"), "altered": altered_cases(s, d).select("image_id"),
         "tests": cases(s, d).where("split <> 'train'").select("image_id")}, "image_id"),
-    "seed_ensemble": ensemble, "seed_spread": seed_spread, "run_agreement": runs, "rerun_check": rerun, "self_check": self_check,
-    "leakage_audit": lambda s, d: audits.leakage_audit(cases(s, d)),
+    "seed_ensemble": ensemble, "seed_spread": seed_spread, "self_check": self_check,
+    "leakage_audit": lambda s, d: audits.leakage_audit(cases(s, d), radius_pairs(text_hashes(s, d), "h", "doc_id")),
+    "zero_distance_contents": zero_distance,
     "leakage_pairs": lambda s, d: audits.split_intersections(
         document_files(s, d).select("sha", "split"), "sha"),
     "missing_variants": lambda s, d: audits.missing_variants(
@@ -207,8 +211,8 @@ QUERIES = {
     "region_grid_labels": lambda s, d: tiles.with_tiles(regions(s, d)).select("image_id", "tile", "tx", "ty", "tile_label"),
     "tile_document_scores": tile_scores, "mapped_boxes": mapped_boxes,
     "example_person": lambda s, d: tiles.best_person(
-        cases(s, d), {"font_substitution": 2, "field_displacement": 2, "resample_patch": 1, "local_recompression": 1},
-        {"identifier": 3, "name": 2, "dob": 1}),
+        cases(s, d), {"font_substitution": 5, "field_displacement": 4, "patch_splice": 4, "resample_patch": 2, "local_recompression": 1},
+        {"identifier": 7, "name": 3, "dob": 2}),
     "synthetic_identities": lambda s, d: synth.with_identity(
         spread(table(s, d, "customer").select("c_custkey"), "c_custkey"), "c_custkey").select(
         "c_custkey", "gender", "naming_stratum", "honorific", "name_latin", "name_devanagari", "printed_name", "surname", "dob",
@@ -243,8 +247,6 @@ def _problems(split_test, missing):
 _fields = ("split", "doc_type", "rule_ocr_verdict", "label")
 _seeds = """sd as (select event_id, s::int as seed, value / 10 - 1 + (('0x' || substr(md5(concat_ws('|', '42', event_id::varchar, s::varchar, 'seed')), 1, 15))::bigint % 1000) / 1000.0::double as logit
    from events, range(0, 5) t(s))"""
-_agree = f"""{_seeds}, ag as (select count(*) as n, round(corr(a.logit, b.logit), 6) as pearson, round(max(abs(a.logit - b.logit)), 6) as max_abs_diff
-   from sd a join sd b on a.event_id = b.event_id and a.seed = 0 and b.seed = 1)"""
 _files = f"""fl as (select doc_id, doc_id // 6 as person_id, {sql.texts(sql.SPLIT_CYCLE)}[((doc_id // 6) % 20 + 1)::int] as split,
    'texts/' || doc_id::varchar || '.txt' as file, strlen(text)::bigint as bytes, sha256(text) as sha from documents)"""
 _regions = f"""rg0 as (select p_partkey, {sql.draw('p_partkey', 'box')} as b from part),
@@ -287,8 +289,22 @@ ORACLES = {
       union all select image_id, 'decision not 0 or 1' from pk where decision not in (0, 1)
       union all select image_id, 'label disagrees' from pk join cases c using (image_id) where pk.label <> c.label""",
     "score_run_check": f"""{_c}, {_planted}, q as ({_problems("c.split = 'train'", "c.split <> 'train'")}
-      union all select image_id, 'label disagrees' from pk join cases c using (image_id) where pk.label <> c.label)
-      select problem, count(*) as n from q group by 1""",
+      union all select image_id, 'label disagrees' from pk join cases c using (image_id) where pk.label <> c.label),
+      st as (select p.image_id, p.score, p.label, c.split, c.doc_type, c.forgery_category, try_cast(substr(p.image_id, 2) as bigint) as k from pp p left join cases c using (image_id)),
+      sp as (select image_id, score, label, case when k % 103 = 0 then 'train' else split end as split, case when k % 107 = 0 then null else doc_type end as doc_type,
+        case when k % 109 = 0 then 'C9' else forgery_category end as forgery_category from st),
+      w as (select distinct sp.image_id, sp.split is distinct from c.split as s, sp.doc_type is distinct from c.doc_type as t, sp.forgery_category is distinct from c.forgery_category as f
+        from sp join cases c using (image_id) where c.split <> 'train'),
+      dg as (select (select md5(string_agg(concat_ws('|', image_id, split, coalesce(doc_type, '-'), forgery_category), ',' order by image_id, split, doc_type, forgery_category)) from st) as a,
+        (select md5(string_agg(concat_ws('|', image_id, split, coalesce(doc_type, '-'), forgery_category), ',' order by image_id, split, doc_type, forgery_category)) from sp) as b)
+      select problem, count(*) as n from q group by 1 union all select 'split disagrees', count(*) from w where s having count(*) > 0
+      union all select 'doc_type disagrees', count(*) from w where t having count(*) > 0 union all select 'forgery_category disagrees', count(*) from w where f having count(*) > 0
+      union all select 'digest differs', 1 from dg where a <> b""",
+    "zero_distance_contents": f"""with {_pairs}, {_files}, c as (select hash, sha, count(*) as n from hs join fl using (doc_id) group by all)
+      select hash as h, sum(n)::bigint as n_rows, count(sha) as contents, (sum(n) * (sum(n) - 1) // 2)::bigint as pairs,
+        coalesce(sum(n) filter (where sha is not null) * (sum(n) filter (where sha is not null) - 1) // 2, 0)::bigint as compared,
+        sum(case when sha is null then 0 else n * (n - 1) // 2 end)::bigint as same_pairs
+      from c where hash is not null group by 1 having sum(n) > 1""",
     "reconcile_fields": f"{_c}, {_altered} " + " union all ".join(
         f"select image_id, '{f}' as field, c.{f}::varchar as \"left\", al.{f}::varchar as \"right\" from cases c join al using (image_id) where c.{f} is distinct from al.{f}"
         for f in _fields) + " union all select image_id, 'row', 'present', null from cases anti join al using (image_id)",
@@ -301,22 +317,22 @@ ORACLES = {
     "seed_ensemble": f"with {_seeds} select event_id, round(avg(1.0::double / (1.0::double + exp(-logit / (1 + seed / 4.0::double)))), 6) as prob from sd group by 1",
     "seed_spread": f"""with {_seeds}, p as (select seed, avg(logit) as m from sd join events using (event_id) where event_type = 'error' group by 1)
       select count(*) as seeds, round(avg(m), 6) as mean, round(stddev_samp(m), 6) as sd from p""",
-    "run_agreement": f"with {_agree} select * from ag",
-    "rerun_check": f"""with {_agree}, k as (select 'correlated' as "check", pearson > 0.5 as passed from ag union all select 'close', max_abs_diff <= 0.5 from ag)
-      select * from k union all select 'all', bool_and(passed) from k""",
     "self_check": f"""with {_seeds}, f as (select event_id, logit from sd where seed = 0 order by event_id limit 40)
       select count(*) as rows, round(max(abs(f.logit - sd.logit)), 6) as max_diff, max(abs(f.logit - sd.logit)) <= 0.01 as passed from f join sd using (event_id) where seed = 1""",
-    "leakage_audit": f"{_leak} select * from ck union all select 'all', sum(violations)::bigint, bool_and(passed) from ck",
+    "leakage_audit": f"{_leak}, {_pairs} select * from ck union all select 'all', sum(violations)::bigint, bool_and(passed) from ck "
+                     "union all select 'near_duplicates', coalesce(sum(n_pairs), 0)::bigint, null from pairs",
     "leakage_pairs": f"""with {_files}, p(pair, a, b) as (values ('test|train', 'test', 'train'), ('test|val', 'test', 'val'), ('train|val', 'train', 'val'))
       select pair, (select count(*) from (select sha from fl where split = a intersect select sha from fl where split = b)) as shared from p""",
     "missing_variants": f"""{_c}, {_variants} select doc_type, template_variant, split from (select distinct doc_type, template_variant from vs), (select unnest(['train', 'val', 'test']) as split)
       except select doc_type, template_variant, split from vs""",
     "dup_text_across_splits": f"""with {_files}, fd as (select * from fl where doc_id % 50 <> 7) {_check('people_crossing', _span('fl', 'person_id'))}
-      union all {_check('missing_files', "(select count(*) from fl where doc_id % 50 = 7)")} union all {_check('same_bytes_across_splits', _span('fd', 'sha'))}""",
+      union all {_check('missing_files', "(select count(*) from (select distinct file from fl) anti join fd using (file))")} union all {_check('same_bytes_across_splits', _span('fd', 'sha'))}""",
     "file_status": f"""with {_files}, fd as (select case when doc_id % 43 = 5 then file || '~' else file end as file, bytes + (doc_id % 47 = 2)::int as bytes from fl where doc_id % 41 <> 3)
       select case when fd.file is null then 'missing' when fl.file is null then 'extra' when fl.bytes <> fd.bytes then 'wrong size' else 'ok' end as status, count(*) as n
       from fl full join fd on fl.file = fd.file group by 1""",
-    "digest_status": f"""with {_files} select case when doc_id % 41 = 3 then 'missing' when doc_id % 43 = 5 then 'different' else 'identical' end as status, count(*) as n from fl group by 1""",
+    "digest_status": f"""with {_files}, ag as (select file, case when doc_id % 43 = 5 then sha256(sha) else sha end as sha from fl where doc_id % 41 <> 3)
+      select case when ag.file is null then 'missing' when ag.sha = fl.sha then 'identical' else 'different' end as status, count(*) as n
+      from fl left join ag on fl.file = ag.file group by 1""",
     "tree_digest": f"""with {_files}, l as (select substr(md5(doc_id::varchar), 1, 8) as node, doc_id::varchar || ':' || sha || chr(10) as line from fl),
       d8 as (select node, sha256(string_agg(line, '' order by line)) as leaf, count(*) as n from l group by 1)
       """ + "".join(f""", d{d} as (select substr(node, 1, {d}) as node, sha256(string_agg(node || ':' || leaf, chr(10) order by node)) as leaf, sum(n)::bigint as n
@@ -328,8 +344,8 @@ ORACLES = {
       select image_id, logit, tile as top_tile from r where rn = 1""",
     "mapped_boxes": _mapped(),
     "example_person": f"""{_c}, s as (select person_id, count(distinct doc_type) as docs, max((naming_stratum = 'surname_last')::int) as last,
-        sum(case c1_op when 'font_substitution' then 2 when 'field_displacement' then 2 when 'patch_splice' then 0 else 1 end
-          + case c1_field when 'identifier' then 3 when 'name' then 2 when 'dob' then 1 else 0 end) as s
+        sum(case c1_op when 'font_substitution' then 5 when 'field_displacement' then 4 when 'patch_splice' then 4 when 'resample_patch' then 2 else 1 end
+          + case c1_field when 'identifier' then 7 when 'name' then 3 when 'dob' then 2 else 0 end) as s
         from cases where forgery_category = 'C1' and quality_tier = 'clean' group by 1)
       select person_id, (s + 2 * last)::bigint as points from s where docs = 2 order by points desc, person_id limit 1""",
     "synthetic_identities": sql.with_(sql.identity_ctes("customer", "c_custkey")) + """select c_custkey, gender, naming_stratum, honorific, name_latin,

@@ -87,9 +87,6 @@ def test_coverage_needs_columns(spark):
 
 
 def test_reconcile_small_operators(spark):
-    a = spark.createDataFrame([({"lr": "1", "seed": "0", "env": "x"},)], "settings map<string,string>")
-    b = spark.createDataFrame([({"lr": "2", "seed": "0", "env": "y", "new": "1"},)], "settings map<string,string>")
-    assert sorted(r["name"] for r in reconcile.settings_difference(a, b, ["env"]).collect()) == ["lr", "new"]
     assert reconcile.term_grid(spark, {"a": list("1234"), "b": list("1234"), "c": list("1234")}).count() == 64
     e1 = spark.createDataFrame([(1, .1), (2, .2)], "epoch int, m double")
     e2 = spark.createDataFrame([(1, .3)], "epoch int, m double")
