@@ -7,10 +7,12 @@ passages are cut alike wherever they stand. Chunks have 41 bytes on average, so
 Chunks are compared by a 128-bit digest. The first half of it is counted over all chunks (eight bytes a chunk cross the network),
 and only chunks whose half occurs twice or more are looked at again with digest and place. Neighbouring repeated chunks make a
 passage; passages of ``LEAST`` characters or more count, so a stock phrase or a common line alone does not. Of every
-repeated chunk the occurrence with the least (key, place) stays, the others are removed.
+repeated chunk the occurrence with the least (key, mark, place) stays, the others are removed. ``mark`` is a 64-bit hash of the text.
 
-Defined cases: a null or empty text has no chunks; rows with one key are one document (equal ones share their chunks' fate); a text
-without a border is one chunk, however long; an empty table gives no rows; other columns pass through.
+Defined cases: a null or empty text has no chunks; a document is a key and a text, so rows that agree in both share their chunks'
+fate, and two texts with one key (or without a key) are two documents; null comes before every key, and stands among the sources
+where a text without a key holds what stays; a text without a border is one chunk, however long; an empty table gives no rows;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, digests, first, last = [], [], [], []
-        for j, t in texts_of(batch.column(1)):
+        for j, t in texts_of(batch.column(2)):
             d, chars = chunks_of(t)
             digests.append(d)
             first.append(chars[:-1])
@@ -93,48 +95,58 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             both = np.concatenate(digests)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
-                 pa.array(np.concatenate(first)), pa.array(np.concatenate(last))], ["key", "half", "rest", "start", "end"])
+                [*(batch.column(k).take(pa.array(np.concatenate(rows))) for k in (0, 1)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
+                 pa.array(np.concatenate(first)), pa.array(np.concatenate(last))], ["key", "mark", "half", "rest", "start", "end"])
+
+
+def mark_of(text: str):
+    """What tells texts with one key apart."""
+    return F.xxhash64(F.col(text))
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, first_key, stays) of every chunk that occurs more than once, by place."""
+    """(key, mark, start, end, first, stays) of every chunk that occurs more than once, by place; ``first``: where it stays."""
     texts = docs.where(F.length(text) > 0)
     seen = texts.select(F.col(text).alias("text")).mapInArrow(halves, "half long").groupBy("half").agg(F.count("*").alias("n"))
     twice = keep(seen.where("n > 1").select("half"), "halves")
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("half", "rest", "start", "end"))])
-    found = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(places, schema)
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("mark", "half", "rest", "start", "end"))])
+    found = texts.select(F.col(key).alias("key"), mark_of(text).alias("mark"), F.col(text).alias("text")).mapInArrow(places, schema)
     found = keep(found.join(twice, "half", "left_semi"), "chunks")
     digest = ["half", "rest"]
-    first = found.groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1").drop("n")
-    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("start") == F.col("first.start"))
-    return found.join(first, digest).select("key", "start", "end", F.col("first.key").alias("first_key"), stays.alias("stays")).distinct()
+    first = found.groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("key", "mark", "start")).alias("first")).where("n > 1").drop("n")
+    return found.join(first, digest).select("key", "mark", "start", "end", "first", (here() & (F.col("start") == F.col("first.start"))).alias("stays")).distinct()
+
+
+def here():
+    """Whether a chunk stays in its own document."""
+    return F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per document with repeated passages: key, repeated and removed characters, spans, sources.
+    """One row per document with repeated passages: key, mark, repeated and removed characters, spans, sources.
 
-    ``passages`` are the repeated spans, ``removed`` those of them to cut; ``sources`` are the other keys whose chunks stay.
-    The rows of a window are the repeated chunks of one document.
+    ``passages`` are the repeated spans, ``removed`` those of them to cut; ``sources`` are the keys of other documents whose chunks
+    stay. The rows of a window are the repeated chunks of one document.
     """
     chunks = repeated_chunks(docs, key, text)
-    order = Window.partitionBy("key").orderBy("start")
+    order = Window.partitionBy("key", "mark").orderBy("start")
     chunks = chunks.withColumn("begins", (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")).cast("long"))
     chunks = chunks.withColumn("passage", F.sum("begins").over(order))
     length = F.col("end") - F.col("start")
-    found = chunks.groupBy("key", "passage").agg(
+    found = chunks.groupBy("key", "mark", "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(~F.col("stays"), length).otherwise(0)).alias("gone"),
         F.collect_list(F.when(~F.col("stays"), F.struct("start", "end"))).alias("gone_spans"),
-        F.collect_set(F.when(~F.col("first_key").eqNullSafe(F.col("key")), F.col("first_key"))).alias("sources"))
+        F.collect_set(F.when(~here(), F.struct(F.col("first.key").alias("key")))).alias("sources"))
     found = found.where(F.col("end") - F.col("start") >= least)
-    return found.groupBy("key").agg(
+    sources = F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))), lambda s: s["key"])
+    return found.groupBy("key", "mark").agg(
         F.sum(F.col("end") - F.col("start")).alias("n_repeated"), F.sum("gone").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("passages"),
-        F.array_sort(F.flatten(F.collect_list("gone_spans"))).alias("removed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+        F.array_sort(F.flatten(F.collect_list("gone_spans"))).alias("removed"), sources.alias("sources"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """The documents without the repeated passages that stand elsewhere, with their own columns."""
-    cut = keep(passages(docs, key, text, least).where("n_removed > 0").select("key", "removed"), "removed")
+    cut = keep(passages(docs, key, text, least).where("n_removed > 0").select("key", "mark", "removed"), "removed")
 
     def shorten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
@@ -149,7 +161,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 out.append(t)
             yield pd.Series(out, dtype=object)
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("row_key"))
-    rows = rows.join(cut, F.col("row_key").eqNullSafe(F.col("key")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("row_key"), mark_of(text).alias("row_mark"))
+    rows = rows.join(cut, F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_mark") == F.col("mark")), "left")
     short = F.pandas_udf(shorten, "string")(F.col(f"row.{text}"), F.col("removed"))
     return rows.select(F.col("row").withField(text, F.when(F.col("removed").isNull(), F.col(f"row.{text}")).otherwise(short)).alias("row")).select("row.*")

@@ -75,3 +75,65 @@ def test_awkward_rows(docs_of, awkward):
     assert got[7].n_removed == len(awkward[6][1]) and got[7].sources == [6] and 1 not in got and 3 not in got
     assert s.passages(docs_of([])).count() == 0
     assert s.without_repeats(docs_of(awkward)).count() == len(awkward)
+
+
+def plain_passages(rows):
+    """By (key, text): the spans of chunks that occur twice or more, chained, and those to cut; plain dictionaries over all chunks."""
+    documents = sorted({(i, t) for i, t, *_ in rows if t}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    cut = {d: s.chunks_of(d[1]) for d in documents}
+    count, where = {}, {}
+    for i, t, *_ in rows:
+        if t:
+            digests, chars = cut[i, t]
+            for k, chunk in enumerate(map(tuple, digests.tolist())):
+                count[chunk] = count.get(chunk, 0) + 1
+                where.setdefault(chunk, set()).add((i, t, int(chars[k])))
+    out = {}
+    for d in documents:
+        digests, chars = cut[d]
+        spans, last = [], -1
+        for k, chunk in enumerate(map(tuple, digests.tolist())):
+            if count[chunk] > 1:
+                a, b = int(chars[k]), int(chars[k + 1])
+                spans.append([a, b, set()]) if a != last else spans[-1].__setitem__(1, b)
+                spans[-1][2].update(x[:2] for x in where[chunk])
+                last = b
+        spans = [x for x in spans if x[1] - x[0] >= s.LEAST]
+        if spans:
+            out[d] = spans
+    return out
+
+
+def test_against_the_plain_version(docs_of, awkward):
+    """Found passages are equal, and of every repeated chunk exactly one place stays."""
+    rng = random.Random(11)
+    shared = [sentence(rng, 50, 3000) for _ in range(4)]
+    rows = [*awkward, (5, shared[0] + " " + sentence(rng, 30, 3000), "a")]
+    for k in range(40):
+        key = rng.choice([None, 1, 2, 3, 60 + k])
+        rows.append((key, " ".join([sentence(rng, rng.randrange(1, 40), 3000), rng.choice(shared), sentence(rng, 20, 3000), rng.choice(shared + [""])]), "a"))
+    df = docs_of(rows)
+    marks = {(r.doc_id, r.text): r.m for r in df.select("doc_id", "text", s.mark_of("text").alias("m")).collect()}
+    got = {(r.key, r.mark): r for r in s.passages(df).collect()}
+    want = plain_passages(rows)
+    assert {(i, marks[i, t]): [x[:2] for x in spans] for (i, t), spans in want.items()} == {k: [[p.start, p.end] for p in r.passages] for k, r in got.items()}
+    for (i, t), spans in want.items():
+        others = {x[0] for span in spans for x in span[2] if x != (i, t)}
+        assert set(got[i, marks[i, t]].sources) <= others
+    stay = [r for r in s.repeated_chunks(df).collect() if r.stays]
+    assert len({(r.first.key, r.first.mark, r.first.start) for r in stay}) == len(stay)
+
+
+def test_two_texts_with_one_id_and_texts_without_id(docs_of):
+    rng = random.Random(5)
+    passage = sentence(rng, 60, 3000)
+    own = [sentence(rng, 80, 3000) for _ in range(6)]
+    rows = [(3, f"{own[0]} {passage} {own[1]}", "a"), (3, own[2], "a"), (5, f"{own[3]} {passage}", "a"),
+            (None, f"{own[4]} {passage}", "a"), (None, own[5], "a"), (None, f"{passage} {own[4]}", "a")]
+    out = sorted(((r.doc_id is not None, r.doc_id), r.text) for r in s.without_repeats(docs_of(rows)).collect())
+    texts = [t for _, t in out]
+    assert own[2] in texts and own[5] in texts
+    whole = [t for t in texts if passage in t]
+    assert len(whole) == 1 and sum(own[4] in t for t in texts) == 1
+    got = {(r.key, tuple(r.sources)): r for r in s.passages(docs_of(rows)).collect()}
+    assert any(k == 5 and None in sources for k, sources in got) and any(k == 3 and None in sources for k, sources in got)
