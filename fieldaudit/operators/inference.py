@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.draws import SEED, draw_hex
-from fieldaudit.operators.masks import explode_masks
 from fieldaudit.operators.ranking import running_totals
 
 LANES = 8  # replicates that one digest serves, four hexadecimal digits each
-#: A draw of 16 bits counts the borders it reaches; P(weight > 6) is below the 2^-16 it can tell apart.
-POISSON_BORDERS = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):04x}" for k in range(6))
+#: A draw of 16 bits counts the borders it reaches. P(weight > 7) is 1.0e-5, and 1.1e-6 for 8: no more borders fit below 2^16.
+POISSON_BORDERS = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):04x}" for k in range(8))
 
 
 def lane_weights(cluster: Column, block: Column, seed: int = SEED) -> list[Column]:
@@ -55,22 +54,45 @@ def by_replicate(df: DataFrame, keys, columns: dict[str, str], replicates: int)
     return df.select(*keys, lanes.alias("_lane")).select(*keys, "_lane.*").where(F.col("b") < replicates)
 
 
+def block_sums(counts: DataFrame, cluster: str, replicates: int, keys, values, seed: int = SEED) -> DataFrame:
+    """Weighted sums of per-cluster counts (keys, _block, and ``_<value>_<lane>`` for the replicates of the block).
+
+    With keys, the cells of a cluster are nested in one row first: keys name a few cells (a subset, a class), not a score.
+    """
+    keys, values = list(keys), list(values)
+    if keys:
+        counts = counts.groupBy(cluster).agg(F.collect_list(F.struct(*keys, *values)).alias("_cells"))
+    df = with_lanes(counts, cluster, replicates, seed)
+    if keys:
+        lanes = ["_block", *[f"_w{k}" for k in range(LANES)]]
+        df = df.select(*lanes, F.explode("_cells").alias("_cell")).select(*lanes, "_cell.*")
+    return df.groupBy(*keys, "_block").agg(*[F.sum(F.col(v) * F.col(f"_w{k}")).alias(f"_{v}_{k}") for v in values for k in range(LANES)])
+
+
 def replicate_sums(counts: DataFrame, cluster: str, replicates: int, keys, values, seed: int = SEED) -> DataFrame:
     """Weighted sums of per-cluster counts for every replicate: (keys, b, values)."""
-    sums = with_lanes(counts, cluster, replicates, seed).groupBy(*keys, "_block").agg(
-        *[F.sum(F.col(v) * F.col(f"_w{k}")).alias(f"_{v}_{k}") for v in values for k in range(LANES)])
-    return by_replicate(sums, keys, {v: f"_{v}_{{}}" for v in values}, replicates)
+    return by_replicate(block_sums(counts, cluster, replicates, keys, values, seed), keys, {v: f"_{v}_{{}}" for v in values}, replicates)
 
 
 def rate_counts(df: DataFrame, cluster: str, cell, systems: dict[str, str], masks: dict[str, Column]) -> DataFrame:
-    """Numerators k_<system> and the shared denominator ``den`` of flag rates per (cluster, mask).
+    """Numerators k_<system> and the shared denominator ``den`` of flag rates per (cluster, cell).
 
-    Systems stay side by side as columns until after the replicate join, which is where rows multiply.
+    ``cell`` is a number for the values of the cell's columns, ``masks`` the subsets that it belongs to. Systems stay side by side as
+    columns, and subsets are not multiplied out, until replicates have been summed.
     """
-    per_cell = df.groupBy(cluster, *cell).agg(
-        F.count(F.lit(1)).alias("den"), *[F.sum(c).cast("long").alias(f"k_{s}") for s, c in systems.items()])
-    return explode_masks(per_cell, masks).groupBy(cluster, "mask").agg(
-        F.sum("den").alias("den"), *[F.sum(f"k_{s}").alias(f"k_{s}") for s in systems])
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cell]
+    member = F.array_compact(F.array(*[F.when(p, F.lit(m)) for m, p in masks.items()]))
+    return df.groupBy(cluster, *cell).agg(
+        F.count(F.lit(1)).alias("den"), *[F.sum(c).cast("long").alias(f"k_{s}") for s, c in systems.items()]).select(
+        cluster, F.xxhash64(*named).alias("cell"), member.alias("masks"), "den", *[f"k_{s}" for s in systems])
+
+
+def _by_mask(sums: DataFrame, cells: DataFrame, keys) -> DataFrame:
+    """Sums of cells put together to sums of the subsets."""
+    member = cells.groupBy("cell").agg(F.first("masks").alias("masks"))
+    values = [c for c in sums.columns if c not in ("cell", *keys)]
+    return sums.join(member, "cell").select(F.explode("masks").alias("mask"), *keys, *values).groupBy("mask", *keys).agg(
+        *[F.sum(v).alias(v) for v in values])
 
 
 def _rates(sums: DataFrame, keys, systems) -> DataFrame:
@@ -82,14 +104,15 @@ def _rates(sums: DataFrame, keys, systems) -> DataFrame:
 
 def rates(counts: DataFrame, systems) -> DataFrame:
     """STA4, point values (mask, system, value); null on an empty subset."""
-    sums = counts.groupBy("mask").agg(*[F.sum(c).alias(c) for c in ("den", *[f"k_{s}" for s in systems])])
-    return _rates(sums, ["mask"], systems)
+    sums = counts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("den", *[f"k_{s}" for s in systems])])
+    return _rates(_by_mask(sums, counts, []), ["mask"], systems)
 
 
 def rate_replicates(counts: DataFrame, replicates: int, cluster: str, systems) -> DataFrame:
     """STA4, replicates (mask, system, b, value)."""
-    sums = replicate_sums(counts, cluster, replicates, ["mask"], ["den", *[f"k_{s}" for s in systems]])
-    return _rates(sums, ["mask", "b"], systems)
+    values = ["den", *[f"k_{s}" for s in systems]]
+    sums = _by_mask(block_sums(counts, cluster, replicates, ["cell"], values), counts, ["_block"])
+    return _rates(by_replicate(sums, ["mask"], {v: f"_{v}_{{}}" for v in values}, replicates), ["mask", "b"], systems)
 
 
 def finite(c: str) -> Column:

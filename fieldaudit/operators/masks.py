@@ -41,14 +41,19 @@ def _predicate(filters: dict) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
-def case_masks() -> dict[str, Column]:
-    """FLT2. The named subsets of the analysis, as predicates on CELL columns."""
+def case_filters() -> dict[str, dict]:
+    """FLT2. The named subsets of the analysis: per CELL column the values it may have; ``forged``: any category but C0."""
     subsets = dict(NAMED)
     for base, dimensions in NARROWED:
         for values in product(*(VALUES[d] for d in dimensions)):
             name = "/".join([base] * bool(base) + list(values))
             subsets[name] = NAMED.get(base, {}) | {d: (v,) for d, v in zip(dimensions, values)}
-    return {name: _predicate(filters) for name, filters in subsets.items()}
+    return subsets
+
+
+def case_masks() -> dict[str, Column]:
+    """The named subsets as predicates on CELL columns."""
+    return {name: _predicate(filters) for name, filters in case_filters().items()}
 
 
 def explode_masks(cells: DataFrame, masks: dict[str, Column], name: str = "mask") -> DataFrame:

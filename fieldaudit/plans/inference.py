@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldaudit.operators import inference as op
 from fieldaudit.operators.evaluate import SYSTEM_COLUMNS, combined_systems
-from fieldaudit.operators.masks import case_masks
+from fieldaudit.operators.masks import CELL, case_filters, case_masks
 from fieldaudit.plans import sql
 from fieldaudit.plans.evaluate import _combined, systems_cte
 from fieldaudit.plans.ranking import _ev, events
@@ -14,22 +14,30 @@ from fieldaudit.sources.tables import cases
 
 #: Replicates: of the evaluator's intervals, of ranking measures, of the published comparisons.
 B_EVENTS, B_AUROC, B_CASES = 2_000, 2_000, 10_000
-CELL = ["doc_type", "forgery_category", "quality_tier"]
-MASKS = ("forged", "c0", "forged/aadhaar", "forged/pan", "c0/aadhaar", "c0/pan", "c0/severe", "c0/clean")
-MASK_SQL = {"forged": "label = 1", "c0": "label = 0", "forged/aadhaar": "label = 1 and doc_type = 'aadhaar'",
-            "forged/pan": "label = 1 and doc_type = 'pan'", "c0/aadhaar": "label = 0 and doc_type = 'aadhaar'",
-            "c0/pan": "label = 0 and doc_type = 'pan'", "c0/severe": "label = 0 and quality_tier = 'severe'",
-            "c0/clean": "label = 0 and quality_tier = 'clean'"}
+
+
+def _filter_sql(filters):
+    return " and ".join("forgery_category <> 'C0'" if d == "forged" else f"{d} in ({', '.join(repr(v) for v in allowed)})" for d, allowed in filters.items())
+
+
 FAMILIES = {
     "fusion": {
         "recall: or_gt - visual": [(1, "or_gt", "forged"), (-1, "visual", "forged")],
         "recall: or_ocr - visual": [(1, "or_ocr", "forged"), (-1, "visual", "forged")],
         "recall: or_ocr - rules_ocr": [(1, "or_ocr", "forged"), (-1, "rules_ocr", "forged")],
+        "recall: or_gt - or_ocr": [(1, "or_gt", "forged"), (-1, "or_ocr", "forged")],
+        "coverage: rules_gt - rules_ocr": [(1, "rules_gt", "eligible"), (-1, "rules_ocr", "eligible")],
         "fpr: rules_ocr - rules_gt": [(1, "rules_ocr", "c0"), (-1, "rules_gt", "c0")],
     },
+    "trace": {
+        "c1 fine recall: or_ocr - visual": [(1, "or_ocr", "c1_fine"), (-1, "visual", "c1_fine")],
+        "c1 coarse recall: or_ocr - visual": [(1, "or_ocr", "c1_coarse"), (-1, "visual", "c1_coarse")],
+    },
     "document": {
         "gain(aadhaar) - gain(pan), gt": [(1, "or_gt", "forged/aadhaar"), (-1, "visual", "forged/aadhaar"),
                                           (-1, "or_gt", "forged/pan"), (1, "visual", "forged/pan")],
+        "gain(aadhaar) - gain(pan), ocr": [(1, "or_ocr", "forged/aadhaar"), (-1, "visual", "forged/aadhaar"),
+                                           (-1, "or_ocr", "forged/pan"), (1, "visual", "forged/pan")],
         "fpr rules_ocr: pan - aadhaar": [(1, "rules_ocr", "c0/pan"), (-1, "rules_ocr", "c0/aadhaar")],
     },
     "tier": {"fpr rules_ocr: severe - clean": [(1, "rules_ocr", "c0/severe"), (-1, "rules_ocr", "c0/clean")]},
@@ -44,8 +52,7 @@ def r6(df, *names):
 
 
 def case_counts(spark, d):
-    masks = {k: v for k, v in case_masks().items() if k in MASKS}
-    return op.rate_counts(combined_systems(cases(spark, d)), "person_id", CELL, SYSTEM_COLUMNS, masks)
+    return op.rate_counts(combined_systems(cases(spark, d)), "person_id", CELL, SYSTEM_COLUMNS, case_masks())
 
 
 def bootstrap_ci(spark, d):
@@ -126,6 +133,7 @@ def weights_sql(relation, cluster, b):
        from (select distinct {cluster} from {relation}), range(0, {(b - 1) // op.LANES + 1}) tb(block)), range(0, {op.LANES}) tl(lane))) where w > 0 and b < {b})"""
 
 
+MASK_SQL = {name: _filter_sql(filters) for name, filters in case_filters().items()}
 _q = "round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.975), 6) as hi"
 _systems = list(SYSTEM_COLUMNS)
 _counts = ", ".join([
