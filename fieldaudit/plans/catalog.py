@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("characterise", "evaluate", "ranking", "inference", "similarity", "audits", "reruns", "fitting", "texts")
+GROUPS = ("characterise", "evaluate", "ranking", "inference", "similarity", "audits", "reruns", "fitting", "texts", "stored", "streams")
 
 QUERIES, ORACLES = {}, {}
 for _group in GROUPS:

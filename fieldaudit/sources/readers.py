@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldaudit.functions.bits import content_digest
 from fieldaudit.sources import schema
+from fieldaudit.sources.json_object import json_object
 
 
 def flat_manifest(spark: SparkSession, path) -> DataFrame:
@@ -61,7 +64,7 @@ def parameters(spark: SparkSession, path, declared: T.StructType | str) -> DataF
 def files(spark: SparkSession, root, pattern: str = "*") -> DataFrame:
     """SRC7. Files below a folder with size and digest, paths relative to it."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    relative = F.regexp_replace("path", r"^.*?" + str(root).rstrip("/").replace(".", r"\.") + "/", "")
+    relative = F.regexp_replace("path", r"^.*?" + re.escape(str(root).rstrip("/")) + "/", "")
     return df.select(relative.alias("file"), F.col("length").alias("bytes"), content_digest(F.col("content")).alias("sha"))
 
 
@@ -78,6 +81,5 @@ def epochs(spark: SparkSession, path) -> DataFrame:
 
 
 def split_map(spark: SparkSession, path) -> DataFrame:
-    """SRC10. JSON object person -> split, as rows. The object is one document, one map by design."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("person_id", "split"))
+    """SRC10. JSON object person -> split, as rows; a large object is read in byte ranges by several tasks."""
+    return json_object(spark, path).select(F.col("key").alias("person_id"), F.col("value").alias("split"))
