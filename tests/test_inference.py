@@ -71,3 +71,18 @@ def test_frozen_scores_refuse_their_fit_split(spark):
     assert fitting.frozen_score(df, p, ["z"]).first()["fused"] == 0.5
     with pytest.raises(Exception):
         fitting.frozen_score(df.withColumn("split", F.lit("val")), p, ["z"]).collect()
+
+
+def test_logistic_fit_of_hard_rows(spark):
+    """Separated classes are held by the penalty; null rows do not count; copies weigh; one class is an error."""
+    rows = [(float(x), int(x > 0)) for x in (-3, -2, -1, 1, 2, 3)] * 50 + [(None, 1), (1.0, None)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    m = fitting.fit_logistic(df, ["x"], "y")
+    w, b = m["coef"][0], m["intercept"]
+    import math
+    p = [1 / (1 + math.exp(-(b + w * x))) for x, y in rows[:300]]
+    assert abs(sum(a - y for a, (_, y) in zip(p, rows))) < 1e-7 and abs(sum((a - y) * x for a, (x, y) in zip(p, rows)) + w) < 1e-7
+    weak = fitting.fit_logistic(df, ["x"], "y", c=0.01)
+    assert 0 < weak["coef"][0] < w
+    with pytest.raises(ValueError):
+        fitting.fit_logistic(df.where("y = 1"), ["x"], "y")
