@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
+import gc
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory that a worker no longer uses to the machine: workers stay between tasks, and stages of a pipeline share them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(task):
+    """A task's function over batches that gives memory back when the task ends."""
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

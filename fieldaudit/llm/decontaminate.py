@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldaudit.llm.common import giving_back
+
 WIDTH = 10
 #: Bound of a block of patterns; an automaton takes some 50 bytes a character.
 BLOCK_CHARS = 2_000_000
@@ -115,6 +117,7 @@ def original_spans(text: str, normal: bytes, ranges: list[tuple[int, int]]) -> l
 
 def scanner(broadcast_blocks: list):
     @F.pandas_udf(RESULT)
+    @giving_back
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             texts = [t or "" for t in texts]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from fieldaudit.llm.common import keep
+from fieldaudit.llm.common import giving_back, keep
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -110,7 +110,7 @@ def own_filters(docs: DataFrame, text: str, shape: Bits, min_chars: int) -> Data
         parts = {s: (a, b) for s, (a, b) in enumerate(zip(once.reshape(-1, SEGMENT), twice.reshape(-1, SEGMENT))) if a.any()}
         yield from packed(TaskContext.get().partitionId(), parts)
 
-    return docs.select(text).mapInArrow(build, PARTS)
+    return docs.select(text).mapInArrow(giving_back(build), PARTS)
 
 
 def merged(filters: DataFrame, groups: int) -> DataFrame:
@@ -150,6 +150,7 @@ def twice_filter(docs: DataFrame, text: str, min_chars: int, most: int = MOST_BI
 
 def prober(shape: Bits, shared, min_chars: int):
     @F.pandas_udf(FOUND)
+    @giving_back
     def probe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(shared.value, np.uint8)
         for texts in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldaudit.llm.common import keep
+from fieldaudit.llm.common import giving_back, keep
 from fieldaudit.llm.graph import components
 
 WIDTH = 5
@@ -43,7 +43,7 @@ MOST_BITS = 40
 ROUNDS = 2
 #: Ids of nodes to look up are broadcast up to this number; beyond, the lookup is a shuffled join.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 BATCH_CHARS = 1_000_000
 SKETCH = "n_shingles long, node binary, bands array<long>, bits array<long>"
 
@@ -262,7 +262,7 @@ def mark_of(text: str) -> Column:
 
 def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(key, mark, n_shingles, component_id, stays) for every row; one row of each component stays: the least key's, nulls last."""
-    rows = docs.select(F.col(key).alias("key"), mark_of(text).alias("mark"), F.pandas_udf(sketch, SKETCH)(F.col(text)).alias("s"))
+    rows = docs.select(F.col(key).alias("key"), mark_of(text).alias("mark"), F.pandas_udf(giving_back(sketch), SKETCH)(F.col(text)).alias("s"))
     rows = keep(rows.select(F.monotonically_increasing_id().alias("row"), "key", "mark", "s.*"), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(
         F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "row", "mark")).alias("first"), F.any_value("n_shingles").alias("n_shingles"),
@@ -279,7 +279,7 @@ def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     no_key = texts.where("key is null").select("text", mark_of("text").alias("mark"))
     no_key = no_key.join(lookup(wanted.where("key is null").select("mark").distinct()), "mark", "left_semi").dropDuplicates(["mark"])
     some = some.unionByName(no_key.select("text"))
-    sets = keep(some.mapInArrow(node_sets, "node binary, items array<long>").dropDuplicates(["node"]), "sets")
+    sets = keep(some.mapInArrow(giving_back(node_sets), "node binary, items array<long>").dropDuplicates(["node"]), "sets")
     own = own_counts(sets)
     common = (F.col("n_shingles") - F.coalesce("n_own", F.lit(0).cast("long"))).alias("n_common")
     members = keep(members.join(own, "node", "left").select("bucket", "node", "n_shingles", common, *(f"b{k}" for k in range(SLOTS // 64))), "members")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldaudit.llm.common import keep, new_path
+from fieldaudit.llm.common import giving_back, keep, new_path
 
 MAGIC = b"IDFRAME1"
 TRAILER = struct.Struct("<32sBQQ8s")
@@ -47,8 +47,9 @@ SAMPLE_DOCS = 2_000
 SAMPLE_IDS = 4_096
 DICTIONARY_BYTES = 64 * 1024
 FILE_BYTES = 256 * 1024 * 1024
-#: A worker forgets its words beyond so many; they are encoded again when they come back.
-CACHE_WORDS = 400_000
+#: A worker forgets its words, or their parts, beyond so many bytes of each; they are encoded again when they come back.
+CACHE_BYTES = 12 * 1024 * 1024
+ENTRY_BYTES = 240
 LEVEL = 3
 MANIFEST = "part int, seq int, path string, docs long, tokens long, dictionary string"
 
@@ -112,10 +113,9 @@ class Encoder:
         """Little-endian 4-byte ids of each text, with the end id."""
         if not self.by_word:
             return [ids + self.end for ids in self._encode(texts)]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > 2 * CACHE_WORDS:
-            self.parts.clear()
+        for known in (self.words, self.parts):
+            if len(known) * ENTRY_BYTES > CACHE_BYTES:
+                known.clear()
         return [b"".join(map(self.words.__getitem__, self._bytes(t).split())) + self.end for t in texts]
 
     def _bytes(self, text: str) -> bytes:
@@ -237,7 +237,7 @@ def sample_dictionary(docs: DataFrame, encoder_of, width: int) -> bytes:
             ids = [np.frombuffer(x, "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in encoder.encode([t for _, t in part])]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    return train_dictionary(sorted(bytes(r[0]) for r in some.mapInArrow(arrays, "ids binary").collect()))
+    return train_dictionary(sorted(bytes(r[0]) for r in some.mapInArrow(giving_back(arrays), "ids binary").collect()))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_word: bool = False) -> DataFrame:
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_w
                 [("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("dictionary", pa.string())]))
 
     dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return keep(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    return keep(dealt.mapInArrow(giving_back(write), MANIFEST), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -296,7 +296,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, with_ids:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     spread = files.select("path", "dictionary", "start").repartition("path")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return spread.mapInArrow(giving_back(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = False) -> DataFrame:

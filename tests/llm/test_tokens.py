@@ -75,7 +75,7 @@ def test_dictionary_shortens_short_documents(tokenizer):
 
 
 def test_words_are_forgotten_and_encoded_again(monkeypatch, tokenizer):
-    monkeypatch.setattr(k, "CACHE_WORDS", 3)
+    monkeypatch.setattr(k, "CACHE_BYTES", 3 * k.ENTRY_BYTES)
     encoder = k.Encoder(vocabulary(), END, True)
     for text in ("one two three four five", "six seven", "one nine"):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(tokenizer, text)
