@@ -64,6 +64,17 @@ def slice_report(cases: DataFrame, systems: dict[str, str]) -> DataFrame:
     return out.withColumn("rate", F.round(ratio(F.col("flagged"), F.col("n")), 6))
 
 
+def core_report(cases: DataFrame, systems: dict[str, str]) -> DataFrame:
+    """AGG17. Core metrics of every system over all rows (``doc_type`` is ``all``) and per document type, from one aggregate."""
+    cells = unpivot_systems(cases, systems, ["doc_type", "label"])
+    forged, n, hit = F.col("label") == 1, F.col("n"), F.col("flagged")
+    part = lambda p, v: F.sum(F.when(p, v).otherwise(0)).cast("long")
+    counts = cells.groupingSets([["system", "doc_type"], ["system"]], "system", "doc_type").agg(
+        part(forged, hit).alias("tp"), part(~forged, hit).alias("fp"), part(~forged, n - hit).alias("tn"), part(forged, n - hit).alias("fn"),
+        F.grouping("doc_type").alias("_total"))
+    return core_metrics(counts.withColumn("doc_type", F.when(F.col("_total") == 1, "all").otherwise(F.col("doc_type"))).drop("_total"))
+
+
 def mask_rates(cases: DataFrame, systems: dict[str, str]) -> DataFrame:
     """FLT2 over the finest cells: (mask, system, n, flagged, rate)."""
     cells = unpivot_systems(cases, systems, list(CELL))

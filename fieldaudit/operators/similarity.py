@@ -91,11 +91,25 @@ def closest_pairs(pairs: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def disjoint_closest(pairs: DataFrame, limit: int = 12) -> DataFrame:
-    """TOP4, re-aimed. Pairs that are the closest of both their sides, so no side appears twice."""
-    ends = pairs.select("*", F.explode(F.array(F.struct(F.col("id_a").alias("e")), F.struct(F.col("id_b").alias("e")))).alias("s"))
-    best = ends.groupBy("s.e").agg(F.min(F.struct("distance", "id_a", "id_b")).alias("p")).select("p.*")
-    mutual = best.groupBy("distance", "id_a", "id_b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == 2).drop("c")
-    return mutual.orderBy("distance", "id_a", "id_b").limit(limit)
+    """TOP4. The pairs that a pass in order of (distance, id_a, id_b) takes when it skips every pair with an end that was taken.
+
+    In rounds: a pair that is the least one at both its ends is taken by that pass for certain, so all of these are taken at once, and
+    the pairs that touch them go. What remains can only add pairs from its least one on; once ``limit`` taken pairs lie before it,
+    the answer is complete.
+    """
+    order = F.struct("distance", "id_a", "id_b")
+    todo = cut(pairs.select(*pairs.columns))
+    taken = None
+    while True:
+        ends = todo.select(order.alias("p"), F.explode(F.array(F.col("id_a"), F.col("id_b"))).alias("e"))
+        best = ends.groupBy("e").agg(F.min("p").alias("p"))
+        mutual = best.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == 2).select("p.*")
+        taken = cut(mutual if taken is None else taken.unionByName(mutual))
+        used = taken.select(F.explode(F.array("id_a", "id_b")).alias("e"))
+        todo = cut(todo.join(used, F.col("id_a") == F.col("e"), "left_anti").join(used, F.col("id_b") == F.col("e"), "left_anti"))
+        least = todo.agg(F.min(order).alias("p")).first().p
+        if least is None or taken.where(order < F.struct(*[F.lit(least[c]).alias(c) for c in ("distance", "id_a", "id_b")])).limit(limit).count() == limit:
+            return taken.orderBy("distance", "id_a", "id_b").limit(limit)
 
 
 def nearest(queries: DataFrame, refs: DataFrame, h: str, id_col: str, array_limit: int = ARRAY_LIMIT,

@@ -36,6 +36,7 @@ QUERIES = {
     "confusion_metrics": lambda s, d: rounded(op.confusion(cases(s, d), ["doc_type"], "label", "rule_ocr")),
     "confusion_metrics_labels": lambda s, d: rounded(op.confusion(long_documents(s, d), ["source"], "quality", "decision")),
     "slice_report": lambda s, d: op.slice_report(cases(s, d), BASIC),
+    "slice_report_core": lambda s, d: rounded(op.core_report(op.combined_systems(cases(s, d)), op.SYSTEM_COLUMNS)),
     "mask_rates": lambda s, d: op.mask_rates(cases(s, d), BASIC),
     "rule_metrics_grouping_sets": lambda s, d: op.rule_metrics(
         cases(s, d).where(in_split("test")), {"gt": "rule_gt_verdict", "ocr": "rule_ocr_verdict"}),
@@ -186,6 +187,8 @@ ORACLES = {
     "confusion_metrics_labels": "with ld as (select source, quality, (n_chars >= 1000)::int as decision from labels join documents using (doc_id)) "
         + confusion_sql("ld", "source", "quality", "decision"),
     "slice_report": _slices(),
+    "slice_report_core": _all_systems + """, rk as (select *, system || '|' || doc_type as k from sys union all select *, system || '|all' from sys) select split_part(k, '|', 1) as system,
+        split_part(k, '|', 2) as doc_type, * exclude (k) from (""" + confusion_sql("rk", "k", "label", "flag") + ")",
     "mask_rates": _masks(),
     "rule_metrics_grouping_sets": _rule_metrics(),
     "rule_decisions": f"""{_dec} select image_id, split, doc_type, forgery_category, label, quality_tier, expected_rule,

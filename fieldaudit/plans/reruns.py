@@ -74,6 +74,12 @@ def agreement(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "max_abs_diff")})
 
 
+def metric_spread(spark, d):
+    """AGG28. Mean and sample deviation over the five seeds of every ranking measure."""
+    m = metrics(run_scores(spark, d)).where("seed >= 0")
+    return m.groupBy("metric").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+
+
 def rerun_epochs(spark, d):
     """JOI17. Epochs of two runs side by side; the second run stops at three quarters of the first, or goes on where it is longer."""
     e = epochs(spark, d)
@@ -83,7 +89,7 @@ def rerun_epochs(spark, d):
 
 QUERIES = {
     "settings_difference": differences, "rerun_ranges": lambda s, d: ranges(s, d).withColumns({c: F.round(c, 6) for c in ("value", "low", "high")}),
-    "rerun_check": rerun, "run_agreement": agreement, "rerun_epochs": rerun_epochs,
+    "seed_metric_spread": metric_spread, "rerun_check": rerun, "run_agreement": agreement, "rerun_epochs": rerun_epochs,
 }
 
 
@@ -116,6 +122,7 @@ _metrics = f"""{_seeds}, rs as materialized (select x.event_id, x.seed, x.logit,
 ORACLES = {
     "settings_difference": f"with {_differ} select * from df",
     "rerun_ranges": f"with {_metrics} select metric, round(value, 6) as value, round(low, 6) as low, round(high, 6) as high, inside from rr",
+    "seed_metric_spread": f"with {_metrics} select metric, count(*) as seeds, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd from me where seed >= 0 group by 1",
     "rerun_check": f"""with {_differ}, {_metrics}, {_regions},
       rd as (select string_agg(concat_ws('|', image_id, coalesce(x0::varchar, ''), coalesce(y0::varchar, '')), ',' order by image_id) as a,
         string_agg(concat_ws('|', image_id, coalesce((case when image_id % 1009 = 5 then x0 - 1 else x0 end)::varchar, ''), coalesce(y0::varchar, '')), ',' order by image_id) as b from rg),

@@ -171,9 +171,11 @@ ORACLES = {
        from (select distinct h from ws where split <> 'train') q join ws r on r.split = 'train' where {_dist.format(a='q.h', b='r.h')} <= {RADIUS256} group by 1)
       select doc_id, split, m.d as distance, m.id as nearest from ws left join n on ws.h = n.h where split <> 'train'""",
     "closest_pairs_top20": f"with {_pairs} select * from pairs order by distance, id_a, id_b limit 20",
-    "disjoint_closest_pairs": f"""with {_pairs}, e as (select id_a as e, distance, id_a, id_b from pairs where id_a <> id_b union all select id_b, distance, id_a, id_b from pairs where id_a <> id_b),
-      b as (select *, row_number() over (partition by e order by distance, id_a, id_b) as rn from e)
-      select distance, id_a, id_b from b where rn = 1 group by all having count(*) = 2 order by 1, 2, 3 limit 12""",
+    "disjoint_closest_pairs": f"""with recursive {_pairs}, o as materialized (select *, row_number() over (order by distance, id_a, id_b) as r from pairs where id_a <> id_b),
+      g(k, r, used) as (select 0, 0::bigint, []::bigint[] union all
+        select k + 1, n.r, list_concat(used, [n.id_a::bigint, n.id_b::bigint]) from g, lateral (select o.r, id_a, id_b from o where o.r > g.r and not list_contains(g.used, id_a)
+          and not list_contains(g.used, id_b) order by o.r limit 1) n where k < 12)
+      select distance, id_a, id_b from o join g using (r)""",
     "nearest_hash": f"with {_samples} select doc_id, split, m.d as distance, m.id as nearest from nn",
     "distance_histogram": f"with {_samples} select distance, count(*) as n from within_d group by 1",
     "distance_summary": f"""with {_samples}, al as (select 'within_document' as sample, distance from within_d union all select 'same_person', distance from same_d

@@ -84,3 +84,22 @@ def test_wide_fingerprint(spark):
     want = [signed(int("".join("1" if x > t else "0" for x in v[i:i + 64]), 2)) for i in range(0, 256, 64)]
     assert list(r["w"]) == want
     assert df.select(hamming_words(F.col("w"), F.transform("w", lambda x: x.bitwiseXOR(F.lit(1).cast("long"))), 4)).first()[0] == 4
+
+
+@pytest.mark.parametrize("seed, limit", [(1, 12), (2, 5), (3, 1000), (4, 1)])
+def test_disjoint_pairs_equal_the_sequential_pass(spark, seed, limit):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(300)} | {(k, k + 1) for k in range(100, 130)}
+    rows = [(a, b, k if a >= 100 else rng.randrange(4), 1) for k, (a, b) in enumerate(sorted(pairs))]
+    taken, used = [], set()
+    for a, b, d_, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+        if len(taken) < limit and not {a, b} & used:
+            taken.append((d_, a, b))
+            used |= {a, b}
+    df = spark.createDataFrame(rows, "id_a int, id_b int, distance int, n_pairs int").repartition(4)
+    assert [(r.distance, r.id_a, r.id_b) for r in sim.disjoint_closest(df, limit).collect()] == taken
+
+
+def test_no_pairs(spark):
+    df = spark.createDataFrame([], "id_a int, id_b int, distance int, n_pairs int")
+    assert sim.disjoint_closest(df).collect() == []
