@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, classified by a decision tree (operator 9).
 
 A page is cut into blocks at its block-level tags. A block has its number of words, its share of words inside links, the same
-of its two neighbours, and three facts on where it stands: inside an article element, inside a part that its tag, role, class or
-id names as page furniture, and in a heading. A class or id name marks furniture only where the page bears it out: an element
+of its two neighbours, the words of the run of link-poor blocks that it stands in, and three facts on where it stands: inside an
+article element, inside a part that its tag, role, class or id names as page furniture, and in a heading. A class or id name marks furniture only where the page bears it out: an element
 that holds an article element, or more than half of the page's words in long, link-poor blocks, is a wrapper and its name is
 outvoted; and no name reaches into an article element. A decision tree, grown by Gini impurity on ``LABELLED`` (a small table of blocks
 judged by hand), keeps or drops each block. Kept blocks are joined in page order.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 OPEN = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|[/!?])")
 #: What may come next in a tag: a quoted value, or its end.
 NEXT = re.compile(r"=\s*([\"'])|>")
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select option datalist title head".split())
+RAW = frozenset("script style noscript template textarea iframe select option datalist title head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,6 +122,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]  # tag, article, furniture, heading, names
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    unclosed: set[str] = set()  # raw tags that nothing closes from here on
     wrappers: set[int] = set()
     named = 0
     parts: list[str] = []
@@ -137,6 +139,13 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         link_words = 0
 
+    def push(tag: str, *facts) -> None:
+        places[tag].append(len(stack))
+        stack.append((tag, *facts))
+
+    def pop() -> None:
+        places[stack.pop()[0]].pop()
+
     def say(raw: str) -> None:
         nonlocal link_words
         if raw:
@@ -168,18 +177,20 @@ def blocks(page: str) -> list[Block]:
             elif tag in BLOCK:
                 flush()
                 in_link = 0
-            if tag in BLOCK or tag in ("a", "span"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ARTICLE_TAGS and tag not in ("body", "html"):
-                        break  # a stray end tag does not leave the article
+            if places[tag]:
+                place = places[tag][-1]
+                # A stray end tag does not leave the article.
+                if tag in ("body", "html") or not any(places[t] and places[t][-1] > place for t in ARTICLE_TAGS):
+                    while len(stack) > place:
+                        pop()
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
+                close = None if tag in unclosed else re.compile(rf"</{tag}(?![\w-])", re.I).search(page, at)
+                stop = page.find(">", close.end()) if close else -1
+                if stop < 0:
+                    unclosed.add(tag)
+                at = stop + 1 if stop >= 0 else end if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag == "br":
             parts.append(" ")
@@ -190,7 +201,7 @@ def blocks(page: str) -> list[Block]:
             flush()
             in_link = 0
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", *HEADINGS) and stack[-1][0] == tag:
-                stack.pop()
+                pop()
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in BLOCK or tag == "span":
@@ -203,17 +214,18 @@ def blocks(page: str) -> list[Block]:
                 named += 1
                 names = (*names, named)
             if tag == "span" and not (here or name):
-                stack.append((tag, article, furniture, heading, names))
+                push(tag, article, furniture, heading, names)
             else:
                 if tag == "span":
                     flush()
-                stack.append((tag, article or tag in ARTICLE_TAGS, furniture or here, tag in HEADINGS, names))
+                push(tag, article or tag in ARTICLE_TAGS, furniture or here, tag in HEADINGS, names)
     flush()
     return outvoted(out, wrappers)
 
 
-#: Columns of LABELLED; the neighbours' words and link shares are 0 at either end of a page.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading")
+#: Columns of LABELLED; the neighbours' words and link shares are 0 at either end of a page. ``run``: the words of the longest run of
+#: link-poor blocks outside furniture around the block, its own included; rows that do not state it stand beside their neighbours only.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading", "run")
 #: Blocks judged by hand: their features, and 1 for main text.
 LABELLED = (
     # menus, and links beside them
@@ -266,9 +278,31 @@ LABELLED = (
     ((9, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1), 0), ((8, 0.0, 50, 0.0, 70, 0.0, 0, 1, 0), 0), ((9, 0.0, 8, 0.0, 50, 0.0, 1, 1, 0), 0), ((10, 0.0, 60, 0.0, 8, 0.0, 0, 1, 0), 0),
     ((7, 0.0, 40, 0.0, 6, 0.0, 1, 1, 0), 0), ((40, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0), 0), ((90, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0), 0), ((6, 0.0, 7, 0.0, 60, 0.0, 0, 1, 0), 0),
     ((30, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0), 0), ((200, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 0), ((5, 0.0, 70, 0.0, 40, 0.0, 0, 1, 1), 0), ((3, 0.0, 45, 0.1, 30, 0.0, 1, 1, 0), 0),
+    # pages of short paragraphs only: what counts is the run that they make
+    ((11, 0.0, 12, 0.0, 11, 0.0, 0, 0, 0, 80), 1), ((3, 0.0, 3, 0.0, 3, 0.0, 0, 0, 0, 45), 1), ((5, 0.0, 6, 0.0, 4, 0.0, 0, 0, 0, 60), 1), ((9, 0.0, 8, 0.0, 10, 0.0, 0, 0, 0, 50), 1),
+    ((15, 0.0, 14, 0.0, 15, 0.0, 0, 0, 0, 100), 1), ((7, 0.0, 2, 0.0, 8, 0.0, 0, 0, 0, 45), 1), ((4, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 48), 1), ((12, 0.0, 1, 1.0, 11, 0.0, 0, 0, 0, 75), 1),
+    ((8, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0, 60), 1), ((3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 50), 1), ((12, 0.0, 11, 0.0, 0, 0.0, 0, 0, 0, 70), 1), ((6, 0.0, 5, 0.0, 1, 1.0, 0, 0, 0, 42), 1),
+    ((3, 0.0, 3, 0.0, 1, 1.0, 0, 0, 0, 90), 1), ((14, 0.0, 13, 0.0, 2, 1.0, 0, 0, 0, 85), 1), ((2, 0.0, 2, 1.0, 11, 0.0, 0, 0, 1, 70), 1), ((4, 0.0, 0, 0.0, 3, 0.0, 0, 0, 1, 45), 1),
+    ((3, 0.0, 12, 0.0, 12, 0.0, 0, 0, 1, 90), 1), ((1, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 55), 1), ((10, 0.0, 1, 0.0, 11, 0.0, 0, 0, 0, 65), 1), ((8, 0.0, 0, 0.0, 7, 0.0, 0, 0, 0, 50), 1),
+    ((3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 45), 1), ((13, 0.0, 0, 0.0, 12, 0.0, 0, 0, 0, 80), 1), ((20, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0, 40), 1), ((5, 0.0, 20, 0.0, 6, 0.0, 0, 0, 0, 60), 1),
+    ((9, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0, 54), 1), ((10, 0.0, 10, 0.0, 0, 0.0, 0, 0, 0, 60), 1), ((11, 0.0, 11, 0.0, 0, 0.0, 0, 0, 0, 66), 1), ((15, 0.0, 15, 0.0, 0, 0.0, 0, 0, 0, 90), 1),
+    ((5, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 70), 1), ((7, 0.0, 7, 0.0, 0, 0.0, 0, 0, 0, 280), 1), ((4, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 56), 1), ((9, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 54), 1),
+    # and short blocks that make no run
+    ((4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 20), 0), ((3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 12), 0), ((8, 0.0, 7, 0.0, 0, 0.0, 0, 0, 0, 22), 0), ((6, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 18), 0),
+    ((9, 0.0, 8, 0.0, 2, 1.0, 0, 0, 0, 25), 0), ((5, 1.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0), 0), ((3, 1.0, 11, 0.0, 12, 0.0, 0, 0, 0, 0), 0), ((4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 300), 0),
+    ((8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 400), 0), ((5, 0.0, 45, 0.0, 2, 1.0, 0, 0, 0, 250), 0), ((3, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 120), 0),
 )
 
 
+def with_run(features: tuple) -> tuple:
+    """A labelled row with its run: stated, or its own words and those of link-poor neighbours."""
+    if len(features) == len(FEATURES):
+        return features
+    words, links, before, links_before, after, links_after, _, furniture, _ = features
+    run = 0 if furniture or links > LINK_POOR else words + before * (links_before <= LINK_POOR) + after * (links_after <= LINK_POOR)
+    return (*features, run)
+
+
 def gini(labels: list[int]) -> float:
     p = sum(labels) / len(labels)
     return 2 * p * (1 - p)
@@ -301,10 +335,23 @@ def classify(tree, features: tuple) -> int:
     return tree
 
 
+def runs(found: list[Block]) -> list[int]:
+    """For every block the words of its run; 0 for blocks of links or in furniture, which end runs."""
+    out, first, total = [0] * len(found), 0, 0
+    for k, b in enumerate([*found, None]):
+        if b is not None and not b.furniture and b.link_words <= LINK_POOR * b.words:
+            total += b.words
+            continue
+        out[first:k] = [total] * (k - first)
+        first, total = k + 1, 0
+    return out
+
+
 def block_features(found: list[Block]) -> list[tuple]:
+    run = runs(found)
     words = [0, *(b.words for b in found), 0]
     links = [0.0, *(b.link_words / b.words for b in found), 0.0]
-    return [(words[k], links[k], words[k - 1], links[k - 1], words[k + 1], links[k + 1], int(b.article), int(b.furniture), int(b.heading))
+    return [(words[k], links[k], words[k - 1], links[k - 1], words[k + 1], links[k + 1], int(b.article), int(b.furniture), int(b.heading), run[k - 1])
             for k, b in enumerate(found, 1)]
 
 
@@ -315,7 +362,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extractor(labelled=LABELLED):
     """A function of a column of html, with a tree grown from the labelled table."""
-    tree = grow(list(labelled))
+    tree = grow([(with_run(x), y) for x, y in labelled])
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:

@@ -3,11 +3,12 @@ import random
 from conftest_llm import sentence
 from fieldaudit.llm import html_text as h
 
-TREE = h.grow(list(h.LABELLED))
+ROWS = [(h.with_run(x), y) for x, y in h.LABELLED]
+TREE = h.grow(ROWS)
 
 
 def test_tree_fits_its_table():
-    assert all(h.classify(TREE, x) == y for x, y in h.LABELLED)
+    assert all(h.classify(TREE, x) == y for x, y in ROWS)
 
 
 def test_article_is_kept_and_furniture_dropped():
@@ -102,3 +103,34 @@ def test_only_links_with_a_target_count():
     p = [sentence(rng, 50) for _ in range(2)]
     assert h.main_text(f"<p><a name=top>{p[0]}</p><p>{p[1]}</p>", TREE) == "\n".join(p)
     assert [b.link_words for b in h.blocks(f"<p><a href=x>one two<p>{p[0]}")] == [2, 0]
+
+
+def test_pages_of_short_paragraphs():
+    """Without an article element, paragraphs of 3 to 15 words come back whole when there are enough of them."""
+    rng = random.Random(7)
+    for n in range(3, 16):
+        for many in (6, 14, 40):
+            if n * many < 45:
+                continue
+            for menu in ("", "<ul><li><a href=/>Home</a></li><li><a href=/n>News today</a></li></ul>"):
+                p = [sentence(rng, n) for _ in range(many)]
+                for head in ("", "<h1>Short news</h1>"):
+                    page = f"<body>{menu}{head}{''.join(f'<p>{x}</p>' for x in p)}</body>"
+                    assert h.main_text(page, TREE) == "\n".join(["Short news"] * bool(head) + p), (n, many, menu, head)
+
+
+def test_formulas_and_fallback_text_stay():
+    assert h.main_text("<article><p>where <math><mi>x</mi></math> is one</p><object data=a.pdf>see the <b>paper</b></object> <canvas>a bar chart</canvas></article>", TREE) \
+        == "where x is one\nsee the paper a bar chart"
+    assert h.main_text("<article><p>a <svg><title>icon</title><text>b</text></svg> c</p></article>", TREE) == "a b c"
+
+
+def test_stray_and_unclosed_tags_take_linear_time():
+    import time
+
+    cases = ["<article>" + "<div>" * 50_000 + "x" + "</span>" * 50_000, "<span><article>" + "<div>" * 50_000 + "</span>" * 50_000 + "x",
+             "<article>x" + "<option>" * 100_000, "<article>x" + "<select></select " * 50_000, "<article>x" + "</p>" * 100_000, "<article>x" + "<i></b>" * 50_000]
+    for page in cases:
+        start = time.process_time()
+        assert h.main_text(page, TREE).startswith("x"), page[:40]
+        assert time.process_time() - start < 2.5, page[:40]
