@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
 ``docs``. run() writes each stage's result to the shared folder and reads it back as the next one's documents.
+
+Defined cases: a row without text, or with an empty one, fails the quality base and goes; rows without an id are documents like any
+other, and come first in the token files; of rows that are copies of each other, in id and text too, one stays; texts are worked on
+whole, however long; a document that the mix takes twice has two rows, next to each other in the files; columns with other names
+pass through up to the last stage, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -58,3 +58,29 @@ def test_empty_documents(spark, docs_of, folder, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_documents(spark, docs_of, folder, tmp_path):
+    """Null ids, repeated rows, copies without an id, a very long text, and columns with names that operators use inside."""
+    rng = random.Random(12)
+    prose = lambda n: ". ".join(sentence(rng, 8, 3_000) for _ in range(n)) + "."
+    rows = [(k, prose(rng.randrange(10, 30)), rng.choice(("a", None))) for k in range(40)]
+    rows += [(None, prose(15), "b") for _ in range(6)] + [(None, rows[3][1], "b"), (None, rows[3][1], "c"), rows[5], rows[5], (900, prose(4_000), "a"), (None, None, None), (7, "", "a")]
+    df = docs_of(rows, clash=True)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), df.columns
+    texts = {t for _, t, _ in rows if t}
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.keep(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == columns
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "quality rules":
+            assert {t for _, t in kept} == texts and len(kept) == len(rows) - 2
+        elif name in ("near-duplicates", "decontamination"):
+            assert sorted(t for _, t in kept) == sorted(texts) and sum(i is None for i, _ in kept) == 6
+        else:
+            assert {t for _, t in kept} <= texts and all(kept.count(x) <= 2 for x in kept)
+    out = cp.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert len(out) == len(kept) and sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in kept)
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:k]) for k in range(len(out))]
