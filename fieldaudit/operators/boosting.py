@@ -5,7 +5,7 @@ stand or no split gains. What a split gains is read off sums of gradients per (n
 the sums of all nodes that the best-first order asks for next, so that a tree costs about as many passes as it has levels. Sums are
 made in the tasks, added by (node, feature) in one small shuffle, and turned into the best split there: the driver sees one row per
 node and feature, and holds the trees. Rows carry their raw score; it is written anew every ``WRITE_ROUNDS`` rounds, and trees since
-then are applied in the pass.
+then are applied in the pass. A sample that one task holds (``TASK_ROWS``) is fitted in that task.
 
 Ties: gains that agree to nine digits go to the lower feature, then to the lower bin; among leaves, to the one made first. Null
 and NaN features lie in the first bin; rows without a label are left out; a frame with one class only gives one tree without a split, and so does one
@@ -14,9 +14,11 @@ of fewer than twice ``LEAST_ROWS`` rows; fitting an empty frame is an error.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from fieldaudit.sources.store import cut
 BINS = 255
 ROUNDS, LEAVES, RATE, LEAST_ROWS, LEAST_HESSIAN = 220, 31, 0.1, 20, 1e-3
 WRITE_ROUNDS = 20
-#: Rows of a task, so that a small sample costs no more than one task a pass.
+#: A sample of at most so many rows is what one task holds; its rounds run in that task, with the same results.
 TASK_ROWS = 20_000
 
 
@@ -124,26 +126,46 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def splits(state: DataFrame, parts: int, width: int, recent: list[Tree], tree: Tree, nodes: list[int]) -> list:
-    """The best split of every node and feature, over rows (bins, y, raw) of a frame in so many parts."""
+class Split(NamedTuple):
+    """The best split of a node by one feature, with the sums left of it and in all."""
+
+    node: int
+    feature: int
+    gain: float
+    bin: int
+    g: float
+    h: float
+    n: float
+    all_g: float
+    all_h: float
+    all_n: float
+
+
+def node_sums(bins: np.ndarray, y: np.ndarray, raw: np.ndarray, tree: Tree, nodes: list[int]) -> np.ndarray:
+    """Sums of gradients, Hessians and rows by (node, feature, bin), as an array [3, nodes, features, 256]."""
+    width = bins.shape[1]
     slot_of = np.full(len(tree.feature), -1)
     slot_of[nodes] = np.arange(len(nodes))
-    cells, size = width * 256, len(nodes) * width * 256
+    slot = slot_of[tree.places(bins)]
+    mine = slot >= 0
+    bins, y, slot, p = bins[mine], y[mine], slot[mine], 1 / (1 + np.exp(-raw[mine]))
+    at = ((slot[:, None] * width + np.arange(width)) * 256 + bins).ravel()
+    size = len(nodes) * width * 256
+    return np.stack([np.bincount(at, np.repeat(w, width), size) for w in (p - y, p * (1 - p), np.ones(len(p)))]).reshape(3, len(nodes), width, 256)
+
 
+def split_of(node: int, feature: int, sums: np.ndarray) -> Split:
+    return Split(node, feature, *best_split(*sums), *sums.sum(axis=1).tolist())
+
+
+def splits(state: DataFrame, width: int, recent: list[Tree], tree: Tree, nodes: list[int]) -> list[Split]:
+    """The best split of every node and feature, over rows (bins, y, raw) of a frame."""
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, size))
+        total = np.zeros((3, len(nodes), width, 256))
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-            y, raw = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2))
-            slot = slot_of[tree.places(bins)]
-            mine = slot >= 0
-            bins, y, slot = bins[mine], y[mine], slot[mine]
-            p = 1 / (1 + np.exp(-(raw[mine] + sum((t.scores(bins) for t in recent), np.zeros(len(bins))))))
-            at = (slot[:, None] * cells + np.arange(width) * 256 + bins).ravel()
-            for k, weight in enumerate((p - y, p * (1 - p), np.ones(len(p)))):
-                total[k] += np.bincount(at, np.repeat(weight, width), size)
-        rows = [[node, f, *(total[k, (s * width + f) * 256:(s * width + f + 1) * 256].tobytes() for k in range(3))]
-                for s, node in enumerate(nodes) for f in range(width)]
+            bins, y, raw = columns_of(batch, width)
+            total += node_sums(bins, y, raw + sum((t.scores(bins) for t in recent), np.zeros(len(bins))), tree, nodes)
+        rows = [[node, f, *(total[k, s, f].tobytes() for k in range(3))] for s, node in enumerate(nodes) for f in range(width)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow_schema(SUMS))], schema=arrow_schema(SUMS))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,20 +175,24 @@ def splits(state: DataFrame, parts: int, width: int, recent: list[Tree], tree: T
                 part = np.stack([np.frombuffer(x) for x in parts])
                 held[node, f] = held[node, f] + part if (node, f) in held else part
         if held:
-            rows = [(*key, *best_split(*v), *v.sum(axis=1).tolist()) for key, v in held.items()]
+            rows = [split_of(*key, v) for key, v in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow_schema(SPLITS))], schema=arrow_schema(SPLITS))
 
-    found = state.mapInArrow(sums, SUMS)
-    return (found.repartition("node", "feature") if parts > 1 else found).mapInArrow(best, SPLITS).collect()
+    return [Split(*row) for row in state.mapInArrow(sums, SUMS).repartition("node", "feature").mapInArrow(best, SPLITS).collect()]
 
 
-def grow(state: DataFrame, parts: int, width: int, recent: list[Tree], leaves: int, rate: float) -> Tree:
-    """One tree, best-first. Every pass asks for the nodes that the order reaches with what is known so far."""
+def columns_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
+    return bins, *(np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2))
+
+
+def grow(best_splits, leaves: int, rate: float) -> Tree:
+    """One tree, best-first. ``best_splits`` of (tree, nodes) is asked for the nodes that the order reaches with what is known so far."""
     tree, cuts, sums = Tree(), {}, {}
     asked = [0]
     while asked:
-        found: dict[int, list] = {}
-        for row in splits(state, parts, width, recent, tree, asked):
+        found: dict[int, list[Split]] = {}
+        for row in best_splits(tree, asked):
             found.setdefault(row.node, []).append(row)
         for node in asked:
             rows = found[node]
@@ -180,6 +206,30 @@ def grow(state: DataFrame, parts: int, width: int, recent: list[Tree], leaves: i
     return pruned(tree, cuts, sums, leaves, rate)
 
 
+def grown_in_one_task(state: DataFrame, width: int, rounds: int, leaves: int, rate: float) -> list[Tree]:
+    """All rounds over a frame of one task's size, in that task: the same sums, without a job for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [columns_of(batch, width) for batch in batches]
+        if not parts:
+            return
+        bins, y, raw = (np.concatenate(c) for c in zip(*parts))
+        raw, done = raw.copy(), []
+
+        def best(tree, nodes):
+            sums = node_sums(bins, y, raw, tree, nodes)
+            return [split_of(node, f, sums[:, s, f]) for s, node in enumerate(nodes) for f in range(width)]
+
+        for _ in range(rounds):
+            done.append(grow(best, leaves, rate))
+            raw += done[-1].scores(bins)
+            if len(done[-1].feature) == 1:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([vars(t) for t in done])])], ["trees"])
+
+    (row,) = state.coalesce(1).mapInArrow(run, "trees string").collect()
+    return [Tree(**t) for t in json.loads(row.trees)]
+
+
 def order(tree: Tree, cuts: dict, leaves: int) -> list[int]:
     """The nodes that are split, best first, as far as their gains are known."""
     open_nodes, done = [0], []
@@ -223,12 +273,14 @@ def fit(df: DataFrame, features: str, label: str, rounds: int = ROUNDS, leaves:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), pa.array(np.full(len(rows), model.start))], ["bins", "y", "raw"])
 
     schema = "bins binary, y double, raw double"
-    parts = -(-first[3] // TASK_ROWS)
     state = df.select(F.col(features), F.col(label).cast("double")).mapInArrow(to_bins, schema)
-    state = cut(state.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else state)
+    if first[3] <= TASK_ROWS:
+        model.trees = grown_in_one_task(state, width, rounds, leaves, rate)
+        return model
+    state = cut(state)
     recent: list[Tree] = []
     for _ in range(rounds):
-        recent.append(grow(state, parts, width, list(recent), leaves, rate))
+        recent.append(grow(lambda tree, nodes: splits(state, width, recent, tree, nodes), leaves, rate))  # noqa: B023
         model.trees.append(recent[-1])
         if len(recent[-1].feature) == 1:
             break  # no split is allowed, and no later tree will find one
