@@ -48,7 +48,7 @@ SAMPLE_IDS = 4_096
 DICTIONARY_BYTES = 64 * 1024
 FILE_BYTES = 256 * 1024 * 1024
 #: A worker forgets its words, or their parts, beyond so many bytes of each; they are encoded again when they come back.
-CACHE_BYTES = 12 * 1024 * 1024
+CACHE_BYTES = 64 * 1024 * 1024
 ENTRY_BYTES = 240
 LEVEL = 3
 MANIFEST = "part int, seq int, path string, docs long, tokens long, dictionary string"
