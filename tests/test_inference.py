@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,58 @@ def test_no_exchange_of_clusters_by_replicates(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1
 
 
+def test_weight_matrix_is_lane_weights(spark):
+    """The weights that tasks make in arrays are those of the column form, for ids of any length and none."""
+    ids = [None, "", "7", "abc", "x" * 60, *[str(i * i) for i in range(40)]]
+    df = spark.createDataFrame([(i,) for i in ids], "c string")
+    rows = inference.with_lanes(df.select("c", inference.draw_tail("c").alias("t")), "c", 24).collect()
+    tails = sorted({r["t"] for r in rows})
+    got = inference.weight_matrix([t.encode() for t in tails], range(3), 42)
+    assert all(got[8 * r["_block"] + k, tails.index(r["t"])] == r[f"_w{k}"] for r in rows for k in range(8)) and len(rows) == 3 * len(ids)
+    texts = np.frombuffer(b"".join(b"%055d" % i for i in range(9)), "uint8").reshape(9, 55)
+    assert [x.tobytes() for x in inference.md5_all(texts)] == [hashlib.md5(t.tobytes()).digest() for t in texts]
+
+
+def test_clusters_are_not_multiplied_by_blocks(spark):
+    """Neither sums nor AUROC make a row per cluster and block of replicates."""
+    df = spark.range(60).select(F.col("id").alias("c"), (F.col("id") % 2).cast("int").alias("y"), F.rand(1).alias("s"), F.lit("a").alias("g"), F.lit(1).alias("v"))
+    for out in (inference.replicate_sums(df, "c", 1000, ["g"], ["v"]), inference.auroc_replicates(df, 1000, "c", "y", "s", ["g"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "sequence(" not in plan and "md5(" not in plan
+
+
+def test_sums_keep_nulls_and_flush(spark, monkeypatch):
+    """Null keys, null values (null only where all are), and sums given out in several pieces."""
+    rows = [(i % 9 if i % 9 else None, i % 4 if i % 4 else None, None if i % 4 == 1 or i % 7 == 0 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "c int, g int, v long")
+    w = inference.with_lanes(df.select("c").distinct(), "c", 13)
+    want = {(r["g"], r["_block"]): r["s"] for r in df.join(w, df["c"].eqNullSafe(w["c"])).groupBy("g", "_block").agg(F.sum(F.col("v") * F.col("_w3")).alias("s")).collect()}
+    got = lambda: {(r["g"], r["_block"]): r["_v_3"] for r in inference.block_sums(df, "c", 13, ["g"], ["v"]).collect()}
+    assert got() == want and want[(1, 0)] is None
+    monkeypatch.setattr(inference, "SUMS_BYTES", 300)
+    assert got() == want
+
+
+def test_auroc_replicates_of_ties_over_many_batches(spark):
+    """Hot scores that run over batches and tasks, several curves, rows without a score: as pairs counted one by one."""
+    n = 20000
+    df = spark.range(n).select((F.col("id") % 37).alias("c"), (F.col("id") * 7 % 5 == 0).cast("int").alias("y"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"),
+                               F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 3 == 0, 4.0).when(F.col("id") % 13 == 5, float("nan")).otherwise((F.col("id") * 31 % 997).cast("double") - 50).alias("s"),
+                               F.col("id"))
+    got = {(r["g"], r["b"]): r["value"] for r in inference.auroc_replicates(df.withColumn("c", F.col("id")), 8, "c", "y", "s", ["g"]).collect()}
+    w = inference.weight_matrix([b"|%d|boot" % i for i in range(n)], range(1), 42)
+    rows = [r for r in df.collect() if r["s"] is not None]
+    for g in "ab":
+        part = [r for r in rows if r["g"] == g]
+        s = np.array([np.inf if np.isnan(r["s"]) else r["s"] for r in part])
+        y, x = np.array([r["y"] for r in part]), w[:, [r["id"] for r in part]]
+        values = np.unique(s)
+        at = np.searchsorted(values, s)
+        for b in range(8):
+            pos, neg = (np.bincount(at, x[b] * (y == k), len(values)) for k in (1, 0))
+            assert got[(g, b)] == pytest.approx((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()), abs=1e-12)
+
+
 def test_bootstrap_skips_undefined(spark):
     df = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "c int, y int, f int")
     out = {r["metric"]: r for r in inference.bootstrap(df, "c", "y", "f", 20).collect()}
