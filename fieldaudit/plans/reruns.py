@@ -8,6 +8,7 @@ from fieldaudit.operators import audits, ranking, reconcile
 from fieldaudit.operators import reruns as op
 from fieldaudit.plans.audits import _regions, _seeds, regions, seeds
 from fieldaudit.plans.ranking import epochs
+from fieldaudit.sources.store import cut
 from fieldaudit.sources.tables import spread, table
 
 IGNORED = ("$.commit", "$.env")
@@ -40,10 +41,10 @@ def run_scores(spark, d):
 
 
 def metrics(scores):
-    """(seed, metric, value) for both ranking measures."""
-    counts = ranking.score_counts(scores, "label", "logit", ["seed"])
+    """(seed, metric, value) for both ranking measures. The curves are counted once for both, and the few values stored once for all that compare them."""
+    counts = cut(ranking.score_counts(scores, "label", "logit", ["seed"]))
     both = ranking.auroc(counts, ["seed"]).select("seed", F.lit("AUROC").alias("metric"), F.col("auroc").alias("value"))
-    return both.unionByName(ranking.average_precision(counts, ["seed"]).select("seed", F.lit("PR-AUC").alias("metric"), F.col("pr_auc").alias("value")))
+    return cut(both.unionByName(ranking.average_precision(counts, ["seed"]).select("seed", F.lit("PR-AUC").alias("metric"), F.col("pr_auc").alias("value"))))
 
 
 def region_digests(spark, d):

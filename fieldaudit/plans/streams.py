@@ -11,11 +11,15 @@ from fieldaudit.streaming import arrived, file_stream, first_arrivals, validated
 
 
 def in_two_runs(spark, name, rows, through):
-    """Rows arrive in two deliveries of several files; the stream is started anew for the second one with the checkpoint of the first."""
+    """Rows arrive in two deliveries of several files; the stream is started anew for the second one with the checkpoint of the first.
+
+    The number of files grows with the rows, so that a file does not; all but one of a delivery make its first batch.
+    """
+    files = max(4, rows.rdd.getNumPartitions())
     source, out, checkpoint = (folder(spark, f"{name}-{part}") for part in ("in", "out", "checkpoint"))
     for delivery in (0, 1):
-        rows.where(F.pmod(F.xxhash64("image_id"), F.lit(2)) == delivery).repartition(4).write.mode("append").parquet(source)
-        stream = through(file_stream(spark, source, rows.schema, files_a_batch=3))
+        rows.where(F.pmod(F.xxhash64("image_id"), F.lit(2)) == delivery).repartition(files).write.mode("append").parquet(source)
+        stream = through(file_stream(spark, source, rows.schema, files_a_batch=files - 1))
         arrived(stream, out, checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
 
