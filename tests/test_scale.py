@@ -32,3 +32,14 @@ def test_files_of_a_delivery_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(streams, "file_stream", lambda s, path, schema, files_a_batch: seen.append(files_a_batch) or s.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path))
     rows = spark.range(0, 120, 1, 6).select(F.col("id").cast("string").alias("image_id"))
     assert streams.in_two_runs(spark, "t", rows, lambda s: s).count() == 120 and seen == [5, 5]
+
+
+def test_splits_meet_the_orders_before_cases_are_derived(spark, tmp_path):
+    """A join of finished cases exchanges all their columns once the splits are too many to broadcast."""
+    spark.sql("select id as o_orderkey, id % 3 as o_custkey, 'F' as o_orderstatus from range(20)").write.parquet(f"{tmp_path}/orders.parquet")
+    splits = spark.createDataFrame([(0, "train"), (1, "val")], "person_id long, split string")
+    df = tables.derive_cases(spark, str(tmp_path), splits=splits)
+    assert {(r.person_id, r.split) for r in df.select("person_id", "split").collect()} == {(0, "train"), (1, "val"), (2, None)}
+    lines = df.select("image_id", "print_id", "ocr_name", "split")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
+    assert not any("md5" in x for x in lines[join:])
