@@ -103,3 +103,18 @@ def test_disjoint_pairs_equal_the_sequential_pass(spark, seed, limit):
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "id_a int, id_b int, distance int, n_pairs int")
     assert sim.disjoint_closest(df).collect() == []
+
+
+def test_character_counts_are_those_of_replacing(spark, monkeypatch):
+    """Counts in one pass equal what a text loses when a character is taken out, in every stretch; the scan is not dealt out first."""
+    monkeypatch.setattr(sim, "CHARACTERS", 20)
+    texts = ["", None, "abc é aéa", "ñ" * 7, "a😀b" * 5, "x", "aaa bbb ccc ddd eee", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2)
+    for stretches in (1, 4):
+        got = {r.id: r.v for r in sim.character_counts(df, "id", "t", "abé ñ", stretches).collect()}
+        for k, t in enumerate(texts):
+            each = -(-len(t or "") // stretches)
+            parts = [(t or "")[each * s:each * (s + 1)] for s in range(stretches)]
+            assert got[k] == [None if t is None else p.count(c) for p in parts for c in "abé ñ"], (k, stretches)
+    plan = sim.character_counts(df.coalesce(1), "id", "t", "ab")._jdf.queryExecution().executedPlan().toString()
+    assert "replace(" not in plan
