@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldaudit.operators import fitting, inference
+from fieldaudit.plans import inference as inference_plans
 
 
 def test_holm(spark):
@@ -141,3 +142,22 @@ def test_logistic_fit_of_hard_rows(spark):
     assert 0 < weak["coef"][0] < w
     with pytest.raises(ValueError):
         fitting.fit_logistic(df.where("y = 1"), ["x"], "y")
+
+
+def test_sums_hold_what_the_comparisons_name(spark, tiny):
+    """Cells are combinations of the subsets asked for, rows in none are left out, and rows meet by cluster once."""
+    rows = [(i % 7 or None, "AB"[i % 2], "xyz"[i % 3], i % 5, 1 if i % 4 else None) for i in range(210)]
+    df = spark.createDataFrame(rows, "c int, g string, h string, other int, f int")
+    masks = {"a": F.col("g") == "A", "a/x": (F.col("g") == "A") & (F.col("h") == "x"), "none": F.col("h") == "w"}
+    counts = inference.rate_counts(df, "c", {"s": "f"}, masks)
+    assert counts.select("cell").distinct().count() == 2 and counts.agg(F.sum("den")).first()[0] == 105
+    reps = inference.block_sums(counts, "c", 100, ["cell"], ["den", "k_s"])
+    reps.collect()
+    plan = reps._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 2 and plan.count("REPARTITION_BY_NUM") == 1
+    got = {(r["mask"], r["system"]): r["value"] for r in inference.rates(counts, ["s"]).collect()}
+    share = lambda some: sum(r[4] or 0 for r in some) / len(some)
+    of_a = [r for r in rows if r[1] == "A"]
+    assert got == {("a", "s"): pytest.approx(share(of_a)), ("a/x", "s"): pytest.approx(share([r for r in of_a if r[2] == "x"]))}
+    counts, systems = inference_plans.case_counts(spark, tiny, inference_plans.DELTAS)
+    assert systems == ["visual", "or_gt", "or_ocr"] and counts.columns == ["person_id", "cell", "den", "k_visual", "k_or_gt", "k_or_ocr"]
