@@ -24,6 +24,7 @@ from fieldaudit.sources.store import shared_root
 from fieldaudit.sources.tables import cases, reach_workers, spread, table
 
 _own: list[str] = []
+SEEDS = 5  # that ``seeds`` gives an event
 
 
 def folder(spark, name):
@@ -62,9 +63,12 @@ def prediction_files(spark, d):
 
 
 def seed_files(spark, d):
-    """One folder of scores a seed; the seed is read from the path."""
-    root, ids = folder(spark, "seeds"), F.col("event_id")
-    s = seeds(spark, d).select(ids.cast("string").alias("image_id"), F.lit("val").alias("split"), F.lit("pan").alias("doc_type"), F.lit("C0").alias("forgery_category"),
+    """One folder of scores a seed; the seed is read from the path. A task keeps a file of every seed open, so that it need not sort its rows."""
+    root, ids, side = folder(spark, "seeds"), F.col("event_id"), spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        side.conf.set(name, spark.conf.get(name))
+    side.conf.set("spark.sql.maxConcurrentOutputFileWriters", SEEDS)
+    s = seeds(side, d).select(ids.cast("string").alias("image_id"), F.lit("val").alias("split"), F.lit("pan").alias("doc_type"), F.lit("C0").alias("forgery_category"),
                                F.lit(0).alias("label"), "logit", F.pmod(ids, F.lit(15)).cast("int").alias("top_tile"),
                                *[(ids + i).cast("double").alias(f"tile{i}") for i in range(15)], F.concat(F.lit("seed"), "seed").alias("run"))
     s.write.partitionBy("run").option("header", True).csv(root)

@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from fieldaudit.plans import stored
 from fieldaudit.sources import json_object, manifested
 
 NASTY = ['","', '":"', "\\", '\\"', '"', "}", "{", "a,b", "", "é\U0001f600", "\n", "\\\\", ':"x","y":', "[1]"]
@@ -87,3 +89,12 @@ def test_empty_table(spark, tmp_path):
     listed = manifested.write_manifested(frame(spark, 0), str(tmp_path / "t"))
     assert tuple(manifested.totals(listed).first())[:3] == (0, 0, 0)
     assert manifested.read_manifested(spark, str(tmp_path / "t"), frame(spark).schema).count() == 0
+
+
+def test_seed_folders_are_written_without_a_sort(spark, tiny, monkeypatch):
+    """Rows of all seeds pass through open files: a task that sorts them first holds all of its rows."""
+    seen, partition_by = [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: seen.append(int(self._spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))) or partition_by(self, *c))
+    got = stored.seed_files(spark, tiny)
+    n = spark.read.parquet(f"{tiny}/events.parquet").count()
+    assert seen == [stored.SEEDS] and got.count() == stored.SEEDS * n and got.select("seed").distinct().count() == stored.SEEDS
