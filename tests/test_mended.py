@@ -83,3 +83,14 @@ def test_every_catalog_query_has_sql_or_is_named():
     from fieldaudit.plans import catalog
 
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == set(check.ROWS_ONLY)
+
+
+def test_median_exchanges_narrow_cells(spark):
+    """Infinite values take their place in the order, and values meet the cells found without a sort or a second exchange of the rows."""
+    inf = float("inf")
+    rows = [("a", "x", -inf), ("a", "x", 1.0), ("a", "x", 2.0), ("a", "y", inf), ("a", "y", 1e300), ("a", "y", -1e300), (None, "x", 0.0), (None, "x", -0.0)]
+    out = similarity.median_ratio(spark.createDataFrame(rows, "g string, h string, v double").repartition(3, "v"), "v", ["g", "h"])
+    got = {(r.g, r.h, r.all_h): (r.n, r.median) for r in out.collect()}
+    assert got == {("a", "x", False): (3, 1.0), ("a", "y", False): (3, 1e300), ("a", None, True): (6, 1.5), (None, "x", False): (2, 0.0), (None, None, True): (2, 0.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and plan.count("ReusedExchange") + plan.count("ResultQueryStage") >= 2
