@@ -1,4 +1,5 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,19 @@ def test_character_counts_are_those_of_replacing(spark, monkeypatch):
             assert got[k] == [None if t is None else p.count(c) for p in parts for c in "abé ñ"], (k, stretches)
     plan = sim.character_counts(df.coalesce(1), "id", "t", "ab")._jdf.queryExecution().executedPlan().toString()
     assert "replace(" not in plan
+
+
+def test_threshold_is_computed_once_a_row(spark):
+    rng = random.Random(13)
+    values = [[rng.randrange(9) for _ in range(n)] for n in (256, 256, 200, 64, 3)] + [None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v array<int>")
+    out = df.select("k", "v", fingerprint_words(F.col("v"), 4).alias("h"), fingerprint(F.slice("v", 1, 64)).alias("one"))
+    for column in ("h", "one"):
+        assert out.select(column)._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+    plain = lambda part, t: signed(sum((x > t) << (len(part) - 1 - i) for i, x in enumerate(part)))
+    for r in out.collect():
+        if r.v is None:
+            assert r.h == [None] * 4 and r.one is None
+        else:
+            assert r.h == [plain(r.v[64 * w:64 * w + 64], statistics.median(r.v[1:])) for w in range(4)]
+            assert r.one == plain(r.v[:64], statistics.median(r.v[1:64]))
